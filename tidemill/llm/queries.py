@@ -10,6 +10,7 @@ from ..session import materialize
 from ..sources import table
 from .bpe import count_tokens, encode_corpus
 from .packing import pack
+from .spam import judge_pages
 
 REGISTRY = query = Registry()
 
@@ -23,3 +24,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     sized = materialize(count_tokens(table(spark, folder, "documents"), "doc_id", "text"), "p9-sizes")
     return pack(sized, "doc_id", "tokens")
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_pages(table(spark, folder, "documents"), "doc_id", "text").filter("case").select("doc_id")
