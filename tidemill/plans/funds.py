@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import folded
+from ..functions.text import fold_width, folded
+from ..operators.drift_schema import canonical, schema_changes, united
 from ..operators.history import versions
 from ..sources import table
 from . import Registry
@@ -51,3 +52,41 @@ select fund_id, {_CATEGORY} as fund_category, trust_fee_rate, is_active, day as
 union all select fund_id, {_CATEGORY}, trust_fee_rate, is_active, effective_start_date, effective_end_date, false from base where not is_current""")
 def p4_versions(spark: SparkSession, folder: str) -> DataFrame:
     return fund_versions(spark, folder).withColumn("fund_category", folded(F.col("fund_category")))
+
+
+def alias_rules(spark: SparkSession, folder: str) -> list[tuple[str, str, int]]:
+    """The alias table, a hand-kept list of rules, as (pattern, canonical name, priority)."""
+    rows = table(spark, folder, "column_alias_map").filter("regex is not null and canonical_name is not null").collect()
+    return [(r["regex"], r["canonical_name"], r["priority"] if r["priority"] is not None else 99) for r in rows]
+
+
+def drift(spark: SparkSession, folder: str) -> DataFrame:
+    return schema_changes(table(spark, folder, "fund_files"), table(spark, folder, "fund_file_lines"), alias_rules(spark, folder))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return drift(spark, folder).filter("kind <> 'column'").select("file_id", F.col("kind").alias("change_kind"), F.col("name").alias("column_name"))
+
+
+#: The columns of the one fund table.
+FIELDS = {
+    "fund_id": "string", "fund_category": "string", "trust_fee_rate": "decimal(6,3)", "is_active": "boolean", "fund_name": "string",
+    "nickname": "string", "management_company": "string", "hidden_cost": "decimal(6,3)", "inception_date": "date",
+}
+
+
+@query("p1_unified")
+def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """Both masters and all files as one table; each column found by name rules and the matching of files."""
+    rules = alias_rules(spark, folder)
+    whole = united(table(spark, folder, "fund_files"), table(spark, folder, "fund_file_lines"), drift(spark, folder), FIELDS)
+    for name in ("fund_master_v2", "legacy_fund_master"):
+        master = table(spark, folder, name)
+        targets = {canonical(c, rules)[0]: c for c in reversed(master.columns) if c != "ingest_date"}
+        typed = [(F.col(f"`{targets[f]}`") if f in targets else F.lit(None)).cast(kind).alias(f) for f, kind in FIELDS.items()]
+        rest = [c for c in master.columns if c not in targets.values() and c not in ("ingest_date", "load_seq")]
+        extras = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rest))) if rest else F.lit(None).cast("string")
+        whole = whole.unionByName(master.select(F.lit(name).alias("source"), F.lit(None).cast("bigint").alias("file_id"), F.col("ingest_date").alias("as_of"), *typed, extras.alias("extras")))
+    category = F.upper(F.trim(fold_width(F.col("fund_category"))))
+    return whole.withColumn("fund_category", category)
