@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans import Registry
 from ..session import materialize
 from ..sources import table
+from .addresses import locations, pairs_of
 from .bpe import count_tokens, encode_corpus
 from .packing import pack
 from .spam import judge_pages
@@ -29,3 +30,9 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 @query("p10_found")
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return judge_pages(table(spark, folder, "documents"), "doc_id", "text").filter("case").select("doc_id")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = locations(table(spark, folder, "users"), table(spark, folder, "taxonomy_jp_hierarchy"), table(spark, folder, "reading_ref"))
+    return pairs_of(found, "user_id", "location")
