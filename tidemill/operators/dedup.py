@@ -23,25 +23,28 @@ _WIDE = "０１２３４５６７８９ａｂｃｄｅｆＡＢＣＤＥＦ－
 _NARROW = "0123456789abcdefABCDEF-{}: "
 
 RANGES = "producer string, block bigint, lo bigint, hi bigint"
-KEYS = "message_key string"
+KEYS = "message_key binary"
 
 
-def message_id(raw: Column) -> dict[str, Column]:
-    """Columns ``message_key`` (null: a message of its own), ``producer`` and ``seq`` (null unless a sequence).
+def message_id(raw: Column) -> Column:
+    """A struct of ``key`` (binary; null: a message of its own), and ``producer`` and ``seq`` (null unless a sequence).
 
-    UUIDs are reduced to 32 lower-case digits: braces, ``urn:uuid:``, hyphens, blanks, width and case do not matter.
+    A UUID's key is its 16 bytes: braces, ``urn:uuid:``, hyphens, blanks, width and case do not matter.  The usual
+    spelling is recognised without regular expressions; only the rest is parsed.
     """
+    none = (F.lit(None).cast("string").alias("producer"), F.lit(None).cast("bigint").alias("seq"))
+    plain = F.try_to_binary(F.replace(raw, F.lit("-")), F.lit("hex"))
     text = F.trim(F.regexp_replace(F.translate(raw, _WIDE, _NARROW), r"[\s\x{00A0}]+", " "))
-    digits = F.regexp_replace(F.lower(text), r"^\s*urn:uuid:|[{}\- ]", "")
-    is_uuid = digits.rlike("^[0-9a-f]{32}$")
+    digits = F.regexp_replace(F.lower(text), r"^urn:uuid:|[{}\- ]", "")
     parts = r"^(.*?[^0-9])[-_:/#]?([0-9]{1,18})$"
-    is_seq = ~is_uuid & text.rlike(parts) & text.rlike("[-_:/#][0-9]{1,18}$")
-    key = F.when(is_uuid, digits).when(F.length(text) > 0, text)
-    return {
-        "message_key": F.when(~F.coalesce(is_seq, F.lit(False)), key),
-        "producer": F.when(is_seq, F.regexp_extract(text, parts, 1)),
-        "seq": F.when(is_seq, F.regexp_extract(text, parts, 2).cast("bigint")),
-    }
+    is_seq = text.rlike("[^0-9 ].*[-_:/#][0-9]{1,18}$")
+    other = F.encode(F.when(F.length(text) > 0, F.concat(F.lit("identifier in no known form: "), text)), "utf-8")
+    parsed = (
+        F.when(digits.rlike("^[0-9a-f]{32}$"), F.struct(F.unhex(digits).alias("key"), *none))
+        .when(is_seq, F.struct(F.lit(None).cast("binary").alias("key"), F.regexp_extract(text, parts, 1).alias("producer"), F.regexp_extract(text, parts, 2).cast("bigint").alias("seq")))
+        .otherwise(F.struct(other.alias("key"), *none))
+    )
+    return F.when((F.length(raw) == 36) & (F.octet_length(plain) == 16), F.struct(plain.alias("key"), *none)).otherwise(parsed)
 
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:
@@ -57,22 +60,17 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
     )
 
 
-def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the smallest ``_at`` and the number of rows; combines before the shuffle, so hot keys stay small."""
-    return rows.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-
+def _order(rows: DataFrame, order_col: str, row_id: str) -> Column:
+    """One value that sorts as (order column with nulls last, row id).
 
-def _mark(rows: DataFrame, keys: list[str], refused: DataFrame | None) -> DataFrame:
-    """``kept`` for rows with the given keys; ``refused`` holds keys that were seen before this batch."""
-    first = _first(rows, keys)
-    if refused is None:
-        decided = first.filter("_n > 1").select(*keys, "_first")
-    else:
-        decided = first.join(refused.withColumn("_seen", F.lit(True)), keys, "left").filter("_n > 1 or _seen")
-        decided = decided.select(*keys, F.when(F.col("_seen").isNull(), F.col("_first")).alias("_first"), F.lit(True).alias("_hit"))
-        joined = rows.join(decided, keys, "left")
-        return joined.withColumn("kept", F.col("_hit").isNull() | F.coalesce(F.col("_at") == F.col("_first"), F.lit(False))).drop("_hit")
-    return rows.join(decided, keys, "left").withColumn("kept", F.col("_first").isNull() | (F.col("_at") == F.col("_first")))
+    Of a timestamp and an integer it is a single decimal, which hash aggregation can update in place; of other types a
+    struct.
+    """
+    kinds = dict(rows.dtypes)
+    if kinds[order_col] in ("timestamp", "timestamp_ntz") and kinds[row_id] in ("int", "bigint"):
+        micros = F.coalesce(F.unix_micros(F.col(order_col).cast("timestamp")), F.lit(2**62)).cast("decimal(19,0)")
+        return (micros * F.lit(10**18).cast("decimal(19,0)") + F.col(row_id).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.struct(F.col(order_col).isNull().alias("late"), F.col(order_col).alias("t"), F.col(row_id).alias("id"))
 
 
 def covered(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -88,39 +86,47 @@ def covered(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
-def mark_duplicates(
-    rows: DataFrame,
-    id_col: str,
-    order_col: str,
-    row_id: str,
-    seen_ranges: DataFrame | None = None,
-    seen_keys: DataFrame | None = None,
-) -> DataFrame:
-    """All rows with a boolean ``kept``, true for exactly one row of each message not seen before."""
-    mid = message_id(F.col(id_col))
-    at = F.struct(F.col(order_col).isNull().alias("late"), F.col(order_col).alias("t"), F.col(row_id).alias("id"))
-    rows = rows.select("*", *(c.alias(f"_{n}") for n, c in mid.items()), at.alias("_at"))
-    rows = rows.withColumn("_block", F.floor(F.col("_seq") / BLOCK).cast("bigint"))
-    lone = rows.filter("_message_key is null and _producer is null").withColumn("kept", F.lit(True))
-    keyed = _mark(rows.filter("_message_key is not null"), ["_message_key"], seen_keys and seen_keys.toDF("_message_key").distinct())
-    refused = None
-    sequenced = rows.filter("_producer is not null")
-    if seen_ranges is not None:
-        asked = sequenced.select(F.col("_producer").alias("producer"), F.col("_block").alias("block"), F.col("_seq").alias("seq")).distinct()
-        refused = covered(asked, seen_ranges).toDF("_producer", "_block", "_seq")
-    sequenced = _mark(sequenced, ["_producer", "_block", "_seq"], refused)
-    plain = [c for c in rows.columns if c not in ("_message_key", "_producer", "_seq", "_at", "_block")]
-    return lone.select(*plain, "kept").unionByName(keyed.select(*plain, "kept")).unionByName(sequenced.select(*plain, "kept"))
+def identified(rows: DataFrame, id_col: str, order_col: str, row_id: str) -> DataFrame:
+    """``rows`` with ``_mid`` (see message_id), ``_at`` (their order) and ``_key``, which no two messages share.
+
+    A row without identifier gets a key of its own, so such rows spread over all tasks like any other.
+    """
+    rows = rows.withColumns({"_mid": message_id(F.col(id_col)), "_at": _order(rows, order_col, row_id)})
+    sequence = F.encode(F.concat(F.lit("sequence: "), F.col("_mid.seq").cast("string"), F.lit(" of "), F.col("_mid.producer")), "utf-8")
+    lone = F.encode(F.concat(F.lit("message of its own: "), F.col(row_id).cast("string")), "utf-8")
+    return rows.withColumn("_key", F.coalesce("_mid.key", sequence, lone))
+
+
+def _mark(rows: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """``kept`` for identified rows.  The first row of a key is found by an aggregate that combines before its shuffle,
+    and only keys with several rows (or refused ones, ``_key``) are joined back, so a key with a third of all rows is
+    never gathered in one task."""
+    first = rows.groupBy("_key").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    if refused is not None:
+        first = first.join(refused.select("_key", F.lit(True).alias("_seen")), "_key", "left")
+        first = first.filter("_n > 1 or _seen").select("_key", F.when(F.col("_seen").isNull(), F.col("_first")).alias("_first"), F.lit(True).alias("_hit"))
+    else:
+        first = first.filter("_n > 1").select("_key", "_first", F.lit(True).alias("_hit"))
+    joined = rows.join(first, "_key", "left")
+    return joined.withColumn("kept", F.col("_hit").isNull() | F.coalesce(F.col("_at") == F.col("_first"), F.lit(False)))
+
+
+def mark_duplicates(rows: DataFrame, id_col: str, order_col: str, row_id: str) -> DataFrame:
+    """All rows with a boolean ``kept``, true for exactly one row of each message."""
+    return _mark(identified(rows, id_col, order_col, row_id).drop("_mid")).select(*rows.columns, "kept")
 
 
 def accept(
     batch: DataFrame, id_col: str, order_col: str, row_id: str, seen_ranges: DataFrame, seen_keys: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One batch against what was seen: (rows with ``kept``, the ranges and the keys seen from now on)."""
-    marked = mark_duplicates(batch, id_col, order_col, row_id, seen_ranges, seen_keys)
-    mid = message_id(F.col(id_col))
-    new = marked.filter("kept").select(*(c.alias(n) for n, c in mid.items()))
-    numbers = new.filter("producer is not null").withColumn("block", F.floor(F.col("seq") / BLOCK).cast("bigint"))
-    ranges = merge_ranges(seen_ranges.unionByName(numbers.select("producer", "block", F.col("seq").alias("lo"), F.col("seq").alias("hi"))))
-    keys = seen_keys.unionByName(new.filter("message_key is not null").select("message_key")).distinct()
-    return marked, ranges, keys
+    rows = identified(batch, id_col, order_col, row_id)
+    block = F.floor(F.col("_mid.seq") / BLOCK).cast("bigint")
+    numbers = rows.filter("_mid.producer is not null").select(F.col("_mid.producer").alias("producer"), block.alias("block"), F.col("_mid.seq").alias("seq"), "_key").distinct()
+    old = covered(numbers, seen_ranges).join(numbers, ["producer", "block", "seq"]).select("_key")
+    known = rows.filter("_mid.key is not null").select(F.col("_key").alias("message_key")).distinct().join(seen_keys, "message_key", "left_semi")
+    marked = _mark(rows, old.unionByName(known.toDF("_key"))).select(*batch.columns, "kept", "_mid", "_key")
+    new = marked.filter("kept")
+    fresh = new.filter("_mid.producer is not null").select(F.col("_mid.producer").alias("producer"), block.alias("block"), F.col("_mid.seq").alias("lo"), F.col("_mid.seq").alias("hi"))
+    keys = seen_keys.unionByName(new.filter("_mid.key is not null").select(F.col("_key").alias("message_key")))
+    return marked.drop("_mid", "_key"), merge_ranges(seen_ranges.unionByName(fresh)), keys

@@ -4,7 +4,7 @@ A queue of monoid values made of two stacks gives the aggregate of its content w
 aggregate, so minimum and maximum work as well as sums.  Here every value of the queue is a vector over all entities of
 a batch: all entities move along one calendar, and one push or pop serves them all.
 
-Defined results: days run from the entity's first active day to the last active day of the whole table, days without
+Defined results: days run from the entity's first active day to the last day given (one row, ``last_day``), days without
 rows included; null and NaN amounts count as no amount; averages and extremes over no amount are null; rows without
 entity or day are left out; an empty table gives no rows.
 """
@@ -70,10 +70,10 @@ def trailing(values: np.ndarray, length: int, monoid: Monoid) -> np.ndarray:
 ENTITIES_AT_ONCE = 2048
 
 
-def rolling_totals(rows: DataFrame, key: str, day: str, cents: str, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
+def rolling_totals(rows: DataFrame, key: str, day: str, cents: str, last_day: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
     """Per key and day: for each window length w ``sum_w``, ``avg_w`` (per amount), ``min_w``, ``max_w``, ``orders_w``.
 
-    ``cents`` is a bigint column, null where there is no amount.  One shuffle: rows are first reduced to one per key and
+    ``cents`` is a bigint column, null where there is no amount; days after ``last_day`` are left out.  One shuffle: rows are first reduced to one per key and
     day (so a key with a third of all rows arrives as a few days), then sorted by key and day inside their partition.
     """
     daily = (
@@ -82,8 +82,8 @@ def rolling_totals(rows: DataFrame, key: str, day: str, cents: str, windows: tup
         .agg(F.sum(cents).alias("_sum"), F.count(cents).alias("_n"), F.min(cents).alias("_min"), F.max(cents).alias("_max"))
         .select(key, F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("_day"), "_sum", "_n", "_min", "_max")
     )
-    last = daily.agg(F.max("_day").alias("_last"))
-    daily = daily.crossJoin(F.broadcast(last))  # one row
+    last = last_day.toDF("_last_day").select(F.datediff("_last_day", F.lit("1970-01-01").cast("date")).alias("_last"))
+    daily = daily.join(F.broadcast(last), F.col("_day") <= F.col("_last"))  # an aggregate: one row
     kind = dict(rows.dtypes)[key]
     fields = ", ".join(f"sum_{w} double, avg_{w} double, min_{w} double, max_{w} double, orders_{w} bigint" for w in windows)
 

@@ -99,11 +99,13 @@ amounts as (
   select user_id, cast(created_at as date) as day, cast(round(case when not isnan(total_usd) then total_usd end * 100) as bigint) as cents
   from marked where kept and user_id is not null and created_at <= ingest_ts and created_at >= ingest_ts - interval {MAX_CLOCK_DAYS} day),
 daily as (select user_id, day, sum(cents) as cents, count(cents) as n, min(cents) as least, max(cents) as most from amounts group by all),
-spans as (select user_id, min(day) as low, (select max(day) from daily) as high from daily group by user_id),
+spans as (select user_id, min(day) as low, (select max(cast(created_at as date)) from orders_microbatch_window_raw
+  where created_at <= ingest_ts and created_at >= ingest_ts - interval {MAX_CLOCK_DAYS} day) as high from daily group by user_id),
 spine as (select user_id, cast(unnest(generate_series(low, high, interval 1 day)) as date) as day from spans),
 dense as (select s.user_id, s.day, cents, coalesce(n, 0) as n, least, most from spine s left join daily d on s.user_id = d.user_id and s.day = d.day)
 select user_id, day, {_SELECTS} from dense""")
 def p7_rolling(spark: SparkSession, folder: str) -> DataFrame:
     clock = usable("created_at", "ingest_ts") & (F.col("created_at") >= F.col("ingest_ts") - F.expr(f"INTERVAL {MAX_CLOCK_DAYS} DAYS"))
+    last = table(spark, folder, "orders_microbatch_window_raw").filter(clock).agg(F.max(F.to_date("created_at")))
     rows = marked(spark, folder).filter("kept").filter(clock).select("user_id", F.to_date("created_at").alias("day"), "cents")
-    return rolling_totals(rows, "user_id", "day", "cents")
+    return rolling_totals(rows, "user_id", "day", "cents", last)
