@@ -35,7 +35,7 @@ MOST_PLACES = 500_000
 BLOCK = 1000
 
 # Other forms of characters in names of places.
-VARIANTS = str.maketrans("髙嶋嶌﨑埼澤濱濵邊邉峯嶺櫻瀧龍廣國圓藏齋齊槗斎", "高島島崎崎沢浜浜辺辺峰峰桜滝竜広国円蔵斉斉橋斉")
+VARIANTS = str.maketrans("髙嶋嶌﨑埼澤濱濵邊邉峯嶺櫻瀧龍廣國圓藏齋齊槗斎惠眞壽榮靜曾禮", "高島島崎崎沢浜浜辺辺峰峰桜滝竜広国円蔵斉斉橋斉恵真寿栄静曽礼")
 KANJI_DIGITS = {c: i for i, c in enumerate("〇一二三四五六七八九")}
 
 _NUM = r"([0-9]+|[〇一二三四五六七八九十]+)"

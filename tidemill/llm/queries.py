@@ -10,6 +10,7 @@ from ..session import materialize
 from ..sources import table
 from .addresses import locations, pairs_of
 from .bpe import count_tokens, encode_corpus
+from .names import same_names
 from .packing import pack
 from .spam import judge_pages
 
@@ -34,5 +35,14 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("p5_found")
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = locations(table(spark, folder, "users"), table(spark, folder, "taxonomy_jp_hierarchy"), table(spark, folder, "reading_ref"))
-    return pairs_of(found, "user_id", "location")
+    return pairs_of(_places(spark, folder), "user_id", "location")
+
+
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    return locations(table(spark, folder, "users"), table(spark, folder, "taxonomy_jp_hierarchy"), table(spark, folder, "reading_ref"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = same_names(table(spark, folder, "users"), table(spark, folder, "reading_ref"), _places(spark, folder))
+    return pairs_of(found, "member", "class")
