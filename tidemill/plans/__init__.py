@@ -30,7 +30,7 @@ class Registry:
 
 
 #: Modules with a ``REGISTRY``, in the order their queries are listed.
-MODULES = ("events", "funds")
+MODULES = ("events", "funds", "relational")
 
 
 def registries() -> list[Registry]:
