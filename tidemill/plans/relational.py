@@ -133,7 +133,7 @@ def wire_format_payload(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("line_pairs_wrangle", """
 with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
-p as (select doc_id, trim(ls[1]) as header, trim(ls[3]) as value from l union all select doc_id, trim(ls[2]), trim(ls[4]) from l union all select doc_id, trim(ls[5]), trim(ls[6]) from l)
+p as (select doc_id, trim(ls[1], ' ') as header, trim(ls[3], ' ') as value from l union all select doc_id, trim(ls[2], ' '), trim(ls[4], ' ') from l union all select doc_id, trim(ls[5], ' '), trim(ls[6], ' ') from l)
 select * from p where header is not null and header <> ''""")
 def line_pairs_wrangle(spark: SparkSession, folder: str) -> DataFrame:
     return paired_lines(table(spark, folder, "documents"), "doc_id", "text")
