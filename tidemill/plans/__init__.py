@@ -30,7 +30,7 @@ class Registry:
 
 
 #: Modules with a ``REGISTRY``, in the order their queries are listed.
-MODULES = ("events", "funds", "relational", "modeling", "metrics")
+MODULES = ("events", "funds", "relational", "modeling", "governance", "metrics", "streams")
 
 
 def registries() -> list[Registry]:
