@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 CAPACITY, BUCKETS = 8192, 16
 #: Pieces of one length are numbered in this many parts, so that a length that a third of all pieces has is no single task.
 PARTS = 64
@@ -88,7 +90,7 @@ def plan(histogram: dict[int, int], capacity: int, buckets: int) -> tuple[list[t
             full = min(many, left // each)
             if full:
                 runs.append((size, rank, rank + full * each, first, each, bucket))
-                leave(space - full_size(each, size), first, full)
+                leave(space - each * size, first, full)
                 rank, left = rank + full * each, left - full * each
             if left and full < many:  # the last container of the stretch takes what there is
                 runs.append((size, rank, rank + left, first + full, left, bucket))
@@ -98,10 +100,6 @@ def plan(histogram: dict[int, int], capacity: int, buckets: int) -> tuple[list[t
     return runs, made
 
 
-def full_size(each: int, size: int) -> int:
-    return each * size
-
-
 def pack(sized: DataFrame, key: str, tokens: str, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
     """One row per piece: key, ``part``, ``tokens``, ``bucket`` and ``container``.
 
@@ -113,19 +111,15 @@ def pack(sized: DataFrame, key: str, tokens: str, capacity: int = CAPACITY, buck
     parts = whole + F.when((rest > 0) | (whole == 0), 1).otherwise(0)
     pieces = sized.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), parts), lambda i: F.least(F.lit(capacity).cast("bigint"), F.col(tokens) - (i - 1) * capacity))).alias("part", "size"))
     pieces = pieces.withColumn("_slice", F.pmod(F.xxhash64(key, "part"), F.lit(PARTS)).cast("int"))
-    groups = pieces.groupBy("size", "_slice").agg(F.count(F.lit(1)).alias("n"))
-    found = groups.collect()  # at most (capacity + 1) * PARTS rows, whatever the corpus
-    histogram: dict[int, int] = {}
-    offsets: list[tuple[int, int, int]] = []
-    for size, part, n in sorted((r["size"], r["_slice"], r["n"]) for r in found):
-        offsets.append((size, part, histogram.get(size, 0)))
-        histogram[size] = histogram.get(size, 0) + n
+    groups = materialize(pieces.groupBy("size", "_slice").agg(F.count(F.lit(1)).alias("n")), "p9-groups")  # at most (capacity + 1) * PARTS rows
+    histogram = {r["size"]: r["n"] for r in groups.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
     empty = histogram.pop(0, 0)
     runs, made = plan(histogram, capacity, buckets)
     made = max(made, 1 if empty else 0)
     if empty:
         runs.append((0, 0, empty, 0, 0, 0))
-    offset = spark.createDataFrame(offsets, "size bigint, _slice int, _before bigint")
+    before = F.sum("n").over(Window.partitionBy("size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    offset = groups.select("size", "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
     step = spark.createDataFrame(runs, "size bigint, _from bigint, _to bigint, _first bigint, _each bigint, bucket int")
     # both tables are bounded by the capacity, not by the corpus: at most (capacity + 1) * PARTS and 3 * capacity rows
     order = Window.partitionBy("size", "_slice").orderBy(F.xxhash64(key, "part"), key, "part")
