@@ -98,14 +98,14 @@ class PeriodTotals:
         before = dt.datetime.fromisoformat(state["seen"]) if state["seen"] else None
         judged = judge(batch, self.event, self.ingest, self.hours, before).withColumn("event_day", F.when(F.col("status") == "admitted", F.to_date(self.event)))
         raw = f"{self.root}/raw/{name}"
-        judged.repartition("event_day", F.pmod(F.xxhash64(self.ingest), F.lit(4))).write.mode("overwrite").partitionBy("status", "event_day").parquet(raw)
+        judged.hint("rebalance", "status", "event_day").write.mode("overwrite").partitionBy("status", "event_day").parquet(raw)
         written = self.spark.read.schema(judged.schema).parquet(raw)
         row = written.agg(F.max(F.when(usable(self.event, self.ingest), F.col(self.event))), F.collect_set(F.when(F.col("status") == "admitted", F.col("event_day")))).first()
         seen, touched = max((x for x in (before, row[0]) if x), default=None), sorted(row[1])  # touched: calendar days
         names = [*state["batches"], name]
         if touched:
             retained = self.retained(names, judged.schema).filter(F.col("status") == "admitted").filter(F.col("event_day").isin(touched))
-            self._totals(retained).repartition("event_day").write.mode("overwrite").partitionBy("event_day").parquet(f"{self.root}/totals/{name}")
+            self._totals(retained).hint("rebalance", "event_day").write.mode("overwrite").partitionBy("event_day").parquet(f"{self.root}/totals/{name}")
         days = state["days"] | {d.isoformat(): name for d in touched}
         self._publish({"batches": names, "seen": seen and seen.isoformat(), "days": days, "schema": judged.schema.json()})
 
