@@ -87,14 +87,16 @@ def covered(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def identified(rows: DataFrame, id_col: str, order_col: str, row_id: str) -> DataFrame:
-    """``rows`` with ``_mid`` (see message_id), ``_at`` (their order) and ``_key``, which no two messages share.
+    """The rows' columns as ``_row`` (so that none can clash), with ``_mid`` (see message_id), ``_at`` (their order) and
+    ``_key``, which no two messages share.
 
     A row without identifier gets a key of its own, so such rows spread over all tasks like any other.
     """
-    rows = rows.withColumns({"_mid": message_id(F.col(id_col)), "_at": _order(rows, order_col, row_id)})
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns if c != "kept")).alias("_row")
+    rows = rows.select(whole, message_id(F.col(id_col)).alias("_mid"), _order(rows, order_col, row_id).alias("_at"), F.col(row_id).cast("string").alias("_id"))
     sequence = F.encode(F.concat(F.lit("sequence: "), F.col("_mid.seq").cast("string"), F.lit(" of "), F.col("_mid.producer")), "utf-8")
-    lone = F.encode(F.concat(F.lit("message of its own: "), F.col(row_id).cast("string")), "utf-8")
-    return rows.withColumn("_key", F.coalesce("_mid.key", sequence, lone))
+    lone = F.encode(F.concat(F.lit("message of its own: "), F.coalesce("_id", F.lit("null"))), "utf-8")
+    return rows.withColumn("_key", F.coalesce("_mid.key", sequence, lone)).drop("_id")
 
 
 def _mark(rows: DataFrame, refused: DataFrame | None = None) -> DataFrame:
@@ -112,8 +114,8 @@ def _mark(rows: DataFrame, refused: DataFrame | None = None) -> DataFrame:
 
 
 def mark_duplicates(rows: DataFrame, id_col: str, order_col: str, row_id: str) -> DataFrame:
-    """All rows with a boolean ``kept``, true for exactly one row of each message."""
-    return _mark(identified(rows, id_col, order_col, row_id).drop("_mid")).select(*rows.columns, "kept")
+    """All rows with a boolean ``kept`` (in place of a column of that name), true for exactly one row of each message."""
+    return _mark(identified(rows, id_col, order_col, row_id).drop("_mid")).select("_row.*", "kept")
 
 
 def accept(
@@ -125,8 +127,8 @@ def accept(
     numbers = rows.filter("_mid.producer is not null").select(F.col("_mid.producer").alias("producer"), block.alias("block"), F.col("_mid.seq").alias("seq"), "_key").distinct()
     old = covered(numbers, seen_ranges).join(numbers, ["producer", "block", "seq"]).select("_key")
     known = rows.filter("_mid.key is not null").select(F.col("_key").alias("message_key")).distinct().join(seen_keys, "message_key", "left_semi")
-    marked = _mark(rows, old.unionByName(known.toDF("_key"))).select(*batch.columns, "kept", "_mid", "_key")
+    marked = _mark(rows, old.unionByName(known.toDF("_key")))
     new = marked.filter("kept")
     fresh = new.filter("_mid.producer is not null").select(F.col("_mid.producer").alias("producer"), block.alias("block"), F.col("_mid.seq").alias("lo"), F.col("_mid.seq").alias("hi"))
     keys = seen_keys.unionByName(new.filter("_mid.key is not null").select(F.col("_key").alias("message_key")))
-    return marked.drop("_mid", "_key"), merge_ranges(seen_ranges.unionByName(fresh)), keys
+    return marked.select("_row.*", "kept"), merge_ranges(seen_ranges.unionByName(fresh)), keys

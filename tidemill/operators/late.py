@@ -51,7 +51,7 @@ def batch_watermarks(rows: DataFrame, event: str, ingest: str, before: dt.dateti
 def judge(rows: DataFrame, event: str, ingest: str, hours: int = LATENESS_HOURS, before: dt.datetime | None = None) -> DataFrame:
     """``status`` of every row: admitted, late, duplicate or unusable.  ``rows`` has a boolean ``kept``."""
     marks = batch_watermarks(rows, event, ingest, before)
-    joined = rows.join(marks, ingest, "left")
+    joined = rows.drop("seen_before").join(marks, ingest, "left")
     wm = F.col("seen_before") - F.expr(f"INTERVAL {int(hours)} HOURS")
     late = F.coalesce(hour_of(event) + F.expr("INTERVAL 1 HOUR") <= wm, F.lit(False))
     status = F.when(~F.col("kept"), "duplicate").when(~usable(event, ingest), "unusable").when(late, "late").otherwise("admitted")
