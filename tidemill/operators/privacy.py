@@ -97,12 +97,12 @@ def k_anonymize(
     relabelled = parts.withColumns({c: F.when(small, F.lit(OTHER)).otherwise(F.col(c).cast("string")) for c in relabel})
     merged = relabelled.groupBy(*quasi).agg(*(F.sum(c).alias(c) for c in ("rows", "users", "sales", "quantity")))
     if exact_distinct:
-        marks = parts.filter(small).select(*quasi, F.lit(True).alias("_small"))
-        condition = reduce(Column.__and__, (df[c].eqNullSafe(marks[c]) for c in quasi))
-        rows = df.join(marks, condition, "left").select(*(F.when(F.col("_small"), F.lit(OTHER)).otherwise(df[c].cast("string")).alias(c) if c in relabel else df[c].alias(c) for c in quasi), df[user])
-        counted = rows.groupBy(*quasi).agg(F.count_distinct(user).alias("_users"))
-        condition = reduce(Column.__and__, (merged[c].eqNullSafe(counted[c]) for c in quasi))
-        merged = merged.join(counted, condition).select(*(merged[c] for c in quasi), "rows", F.col("_users").alias("users"), "sales", "quantity")
+        marks = parts.filter(small).select(*(F.col(c).alias(f"_q_{c}") for c in quasi), F.lit(True).alias("_small"))
+        condition = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in quasi))
+        rows = df.select(*quasi, user).join(marks, condition, "left")
+        rows = rows.select(*(F.when(F.col("_small"), F.lit(OTHER)).otherwise(F.col(c).cast("string")).alias(c) if c in relabel else F.col(c) for c in quasi), user)
+        counted = rows.groupBy(*(F.col(c).alias(f"_q_{c}") for c in quasi)).agg(F.count_distinct(user).alias("_users"))
+        merged = merged.join(counted, condition).select(*quasi, "rows", F.col("_users").alias("users"), "sales", "quantity")
     out = merged.withColumn("average", F.round(F.col("sales") / F.col("rows"), 2)).withColumn("is_small", F.col("users") < k)
     if dummies:
         short = F.greatest(F.lit(k) - F.col("users"), F.lit(0))
