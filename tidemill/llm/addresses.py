@@ -132,6 +132,10 @@ class Places:
                 self.chomes[at, int(digits)] = True
                 if code:
                     self.codes[code] = (at, int(digits))
+        self.short: dict[int, set[str]] = {}
+        for form, those in short.items():
+            for at in those:
+                self.short.setdefault(at, set()).add(form)
         # a place written in full goes before one whose 町 was left out
         self.exact = exact = {**{form: at for form, at in short.items() if form not in exact}, **exact}
         self.forward = sorted(exact)
@@ -189,15 +193,15 @@ class Places:
         key = place_key(where)
         places = self.look_up(key)
         fits = known is not None and known[1] == chome
-        if fits and key not in self.exact and key and min(distance(key, f, slack(key)) for f in self.forms[known[0]]) <= slack(key):
+        if fits and key and (key in self.short.get(known[0], ()) or (key not in self.exact and min(distance(key, f, slack(key)) for f in self.forms[known[0]]) <= slack(key))):
             return known[0], chome, ban, go  # neither is beyond doubt, and they agree
         if len(places) == 1:
             (at,) = places
             if (at, chome) in self.chomes:
                 return at, chome, ban, go
             return (known[0], chome, ban, go) if fits and known[0] == at else None
-        if fits and (not places or known[0] in places):
-            return known[0], chome, ban, go
+        if fits and (known[0] in places or (not places and len(found.groups()) == 3)):
+            return known[0], chome, ban, go  # the code decides; without a chome the text must name the place
         return None
 
 
