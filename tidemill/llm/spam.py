@@ -40,8 +40,8 @@ ENDING_JA = re.compile(r"(?:した|ます|ません|です|でした|する|れ
 TOKEN = re.compile(r"[a-z][a-z0-9_]*|[一-龥々]+|[ァ-ヺー]+|[ぁ-ん]+|[0-9]+")
 SHOWN = re.compile(r'(?:alt|content|title)="([^"]*)"')
 TAG = re.compile(r"<[^<>]*>")
-LINK = re.compile(r"(?:https?://|www\.)[^\s<>\")\],、]+")
-BARE = re.compile(r"[a-z0-9-]+(?:\.|\[\.\]|\(\.\)| dot )(?:example|test|invalid|com|net|org|info|biz|io|jp)(?![a-z0-9])(?:/[^\s<>\")\],、]*)?(?:\?[^\s<>\")\],、]*)?")
+LINK = re.compile(r"(?:https?://|www\.)[^\s<>\")\],\x80-\U0010ffff]+")
+BARE = re.compile(r"[a-z0-9-]+(?:\.|\[\.\]|\(\.\)| dot )(?:example|test|invalid|com|net|org|info|biz|io|jp)(?![a-z0-9])(?:[/?][^\s<>\")\],\x80-\U0010ffff]*)?")
 BARE_HINT = re.compile(r"(?:\.|\]|\)|dot )(?:example|test|invalid|com|net|org|info|biz|io|jp)(?![a-z0-9])")
 SPACED = re.compile(r"(?<![^\W_])\w(?:[.\- ]\w)+(?![^\W_])")
 #: Joiners, marks without width and pictographs; removed before reading.
@@ -188,9 +188,9 @@ class Page:
 
 #: Weight of keywords and links in a page from which they are its most part (weights are in characters, and the text of a
 #: link list's link counts as keyword); words or links that there must be at least.
-MOST, LEAST_WORDS, LEAST_LINKS = 0.45, 8, 3
+MOST, LEAST_WORDS, LEAST_LINKS = 0.45, 7, 3
 #: Different words of a page as a share of what prose of its language and length has; and most that stuffing can have.
-FEW_WORDS, VOCABULARY = 0.45, 64
+FEW_WORDS, VOCABULARY = 0.53, 64
 #: A page is a candidate if a measure lies this many robust standard deviations from prose, or its classes this far.
 EXTREME, DIVERGENT = 2.5, 0.15
 
@@ -267,9 +267,11 @@ def judge_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
         extreme = extreme | (F.abs(F.col(n) - q[1]) > EXTREME * spread)
     distance = sum(F.abs(F.col(s) - F.coalesce(f"m_{s}", f"v_{s}", F.lit(0.0))) for s in _shares()) / 2
     joined = joined.withColumn("divergence", distance).withColumn("candidate", extreme | (F.col("divergence") > DIVERGENT))
-    link = F.when(F.col("links") >= LEAST_LINKS, F.col("link")).otherwise(0)
+    bare = F.col("prose") == 0  # without a sentence, a link or two with their words are a list as well
+    link = F.when((F.col("links") >= LEAST_LINKS) | bare, F.col("link")).otherwise(0)
     bad = F.col("keyword") + link
-    most = (bad >= MOST * (bad + F.col("prose") + F.col("other"))) & ((F.col("keywords") >= LEAST_WORDS) | (F.col("links") >= LEAST_LINKS))
+    enough = (F.col("keywords") >= LEAST_WORDS) | (F.col("links") >= LEAST_LINKS) | (bare & (F.col("links") >= 2) & (F.col("keywords") >= 4))
+    most = (bad >= MOST * (bad + F.col("prose") + F.col("other"))) & enough
     usual = F.coalesce(F.col("q_variety")[1], F.col("w_variety")[1], F.lit(0.0))
     few = (F.col("variety") - usual < math.log(FEW_WORDS)) & (F.col("types") <= VOCABULARY) & (F.col("tokens") >= 20)
     stuffed = few & (F.col("other") < 0.4 * (F.col("prose") + bad + F.col("other")))
