@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import modeling as m
 from ..operators.cdc import append_changes, cdc_log, replayed
 from ..operators.enrich import api_enrich
+from ..operators.ingest import Extractor, add_partitions, export_documents, ingest
+from ..operators.lineage import RunContext, lineage_event
 from ..session import materialize, scratch
 from ..sources import table
 from ..sources.store import TableStore
@@ -283,3 +287,63 @@ select fund_id, ingest_date, fund_name from (select *, row_number() over (partit
 def latest_row_per_key(spark: SparkSession, folder: str) -> DataFrame:
     order = Window.partitionBy("fund_id").orderBy(F.col("ingest_date").desc(), F.col("load_seq").desc())
     return table(spark, folder, "fund_master_v2").withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("fund_id", "ingest_date", "fund_name")
+
+
+# ingestion and export
+
+
+@query("ingest_bronze", """
+select delivery_no, user_id, case when not isnan(subtotal_usd) then subtotal_usd end as subtotal, date '2025-03-10' as ingest_date, user_id is not null as user_id_hash
+from orders_microbatch_window_raw where created_at >= timestamp '2025-03-10' and created_at < timestamp '2025-03-11'""")
+def ingest_bronze(spark: SparkSession, folder: str) -> DataFrame:
+    """One logical date loaded twice into the same partition; the second load replaces the first."""
+    source = table(spark, folder, "orders_microbatch_window_raw").select("delivery_no", "user_id", "subtotal_usd", "created_at")
+    load = lambda _: ingest(source, "2025-03-10", "user_id", "created_at", "2025-03-10", {"subtotal_usd": "subtotal"}, ("subtotal",))
+    store = TableStore(spark, scratch(spark, "store"))
+    for _ in range(2):
+        Extractor(load, "orders").run(spark, store)
+    return store.read("orders").select("delivery_no", "user_id", "subtotal", "ingest_date", F.col("user_id_hash").isNotNull().alias("user_id_hash"))
+
+
+@query("external_partitions", "select event_type, count(*) as n from events group by 1")
+def external_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Parquet by day registered in the catalog, read through it."""
+    name = f"tide_events_{uuid.uuid4().hex[:8]}"
+    rows = table(spark, folder, "events").select("event_id", "event_type", F.to_date("ts").alias("day"))
+    add_partitions(rows, name, scratch(spark, "external"), "day")
+    return spark.table(name).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("document_export", """
+with t as (select cast(ts as date) as date, user_id, count(*) as orders from events where ts >= timestamp '2024-01-25' group by 1, 2)
+select strftime(date, '%Y-%m-%d') || '-' || user_id as _id, user_id, orders from t""")
+def document_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily counts as documents keyed by date and user, read back."""
+    rows = table(spark, folder, "events").filter(F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")).groupBy(F.to_date("ts").alias("date"), "user_id").agg(F.count(F.lit(1)).alias("orders"))
+    path = scratch(spark, "documents")
+    export_documents(rows, ["date", "user_id"], path)
+    return spark.read.schema("_id string, user_id bigint, orders bigint").json(path)
+
+
+@query("view_definition", "select user_id, sum(value) > 1000 as busy from events group by 1")
+def view_definition(spark: SparkSession, folder: str) -> DataFrame:
+    """A named view over a table, queried with SQL."""
+    name = f"v_{uuid.uuid4().hex[:8]}"
+    table(spark, folder, "events").select("user_id", "value").createOrReplaceTempView(name)
+    return spark.sql(f"select user_id, sum(value) > 1000 as busy from {name} group by user_id")
+
+
+@query("inline_values", "select code, label, count(u.user_id) as users from (values ('store', 'shop'), ('web', 'online')) r(code, label) left join users u on u.acquisition_channel = r.code group by 1, 2")
+def inline_values(spark: SparkSession, folder: str) -> DataFrame:
+    """A relation of literals joined with a table."""
+    labels = spark.sql("select * from values ('store', 'shop'), ('web', 'online') as r(code, label)")
+    users = table(spark, folder, "users").select(F.col("acquisition_channel").alias("code"), "user_id")
+    return labels.join(users, "code", "left").groupBy("code", "label").agg(F.count("user_id").alias("users"))
+
+
+@query("lineage_of_a_plan")
+def lineage_of_a_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """The event that a run of a query on the main branch reports."""
+    df = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    event = lineage_event("orders_by_user", df, "user_orders", RunContext(ingest_date="2025-01-01"))
+    return spark.createDataFrame([(event,)], "event string")
