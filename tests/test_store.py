@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,17 @@ def test_append_widens(spark, store):
     store.append(spark.createDataFrame([(5, "x")], "k bigint, v string"), "t")
     store.append(spark.createDataFrame([("y",)], "v string"), "t")
     assert {(r["k"], r["v"]) for r in store.read("t").collect()} == {(0, None), (5, "x"), (None, "y")}
+
+
+def test_merge_rewrites_only_touched_partitions(spark, store):
+    rows = [(1, "a", dt.date(2025, 1, 1)), (2, "b", dt.date(2025, 1, 2)), (3, "c", None), (4, "d", dt.date(2025, 1, 3))]
+    store.create(spark.createDataFrame(rows, "k int, v string, d date"), "t", ["d"])
+    before = set(store.pointer("t")["paths"])
+    store.merge(spark.createDataFrame([(2, "B", dt.date(2025, 1, 9)), (7, "x", None)], "k int, v string, d date"), "t", ["k"])
+    after = set(store.pointer("t")["paths"])
+    assert {p.split("/")[1] for p in before & after} == {"d=2025-01-01", "d=2025-01-03"}
+    assert {r["k"]: (r["v"], r["d"]) for r in store.read("t").collect()} == {1: ("a", dt.date(2025, 1, 1)), 2: ("B", dt.date(2025, 1, 9)), 3: ("c", None), 4: ("d", dt.date(2025, 1, 3)), 7: ("x", None)}
+    store.merge_update(spark.createDataFrame([(4,)], "k int"), "t", ["k"], {"v": F.lit("D")})
+    assert len(set(store.pointer("t")["paths"]) & after) == len(after) - 1 and store.read("t").filter("v = 'D'").count() == 1
+    with pytest.raises(ValueError):
+        store.merge_update(spark.createDataFrame([(4,)], "k int"), "t", ["k"], {"d": F.lit(None)})

@@ -77,11 +77,14 @@ class TableStore:
         state = self.pointer(table, branch)
         if state is None:
             raise ValueError(f"table {table} has no branch {branch}")
+        return self._read_paths(table, state, state["paths"])
+
+    def _read_paths(self, table: str, state: dict, chosen: list[str]) -> DataFrame:
         schema = StructType.fromJson(json.loads(state["schema"]))
-        if not state["paths"]:
+        if not chosen:
             return self.spark.createDataFrame([], schema)
         groups: dict[str, list[str]] = {}
-        for path in state["paths"]:
+        for path in chosen:
             groups.setdefault(path.split("/", 1)[0], []).append(path)
         base = f"{self.root}/{table}/data"
         parts = [self.spark.read.schema(schema).option("basePath", f"{base}/{s}").parquet(*(f"{base}/{p}" for p in paths)) for s, paths in groups.items()]
@@ -140,24 +143,47 @@ class TableStore:
         fresh = fresh.select(*old.names, *(c for c in fresh.columns if c not in old.names))
         self._write(fresh, table, branch, state["partition_by"], keep=state["paths"])
 
+    def _touched(self, table: str, branch: str, source: DataFrame, keys: list[str], arriving: bool) -> tuple[DataFrame, list[str]]:
+        """(the target's rows in the partitions that a merge changes, the paths of all other partitions).
+
+        Only keys and partition columns are read to find them; their list is as long as the table has partitions at most.
+        """
+        state, target = self.pointer(table, branch), self.read(table, branch)
+        by = state["partition_by"]
+        if not by:
+            return target, []
+        parts = target.select(*dict.fromkeys([*keys, *by])).join(source.select(*keys), keys, "left_semi").select(*by)
+        if arriving:
+            parts = parts.unionByName(source.select(*by))
+        names = self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        listed = parts.distinct().collect()
+        changed = {"/".join(names.getPartitionPathString(c, None if r[c] is None else str(r[c])) for c in by) for r in listed}
+        paths = [p for p in state["paths"] if p.split("/", 1)[1] not in changed]
+        inside = self._read_paths(table, state, [p for p in state["paths"] if p.split("/", 1)[1] in changed])
+        return inside, paths
+
     def merge(self, source: DataFrame, table: str, keys: list[str], branch: str = MAIN) -> None:
         """Upsert: matched rows take the source's values, others are added.  Duplicate or null source keys are an error,
-        because which of their rows should win is undefined."""
+        because which of their rows should win is undefined.  Of a partitioned table only the partitions that matched or
+        arriving rows are in are written anew."""
         clash = source.groupBy(*keys).count().filter(reduce(Column.__or__, (F.col(k).isNull() for k in keys), F.col("count") > 1))
         if not clash.isEmpty():
             raise ValueError("the source has null keys or several rows for a key")
-        target = self.read(table, branch)
+        target, kept = self._touched(table, branch, source, keys, arriving=True)
         merged = target.join(source.select(*keys), keys, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
-        self._write(merged, table, branch, self.pointer(table, branch)["partition_by"])
+        self._write(merged, table, branch, self.pointer(table, branch)["partition_by"], kept)
 
     def merge_update(self, source: DataFrame, table: str, keys: list[str], assign: dict[str, Column], branch: str = MAIN) -> None:
-        """Update matched rows only.  ``assign`` may refer to source columns as ``source.<name>``."""
-        target = self.read(table, branch)
+        """Update matched rows only.  ``assign`` may refer to source columns as ``source.<name>``, not to partition columns."""
+        by = self.pointer(table, branch)["partition_by"]
+        if set(by) & assign.keys():
+            raise ValueError("a partition column cannot be assigned")
+        target, kept = self._touched(table, branch, source, keys, arriving=False)
         hit = source.withColumn("_hit", F.lit(True)).alias("source")
         condition = reduce(Column.__and__, (F.col(f"target.{k}") == F.col(f"source.{k}") for k in keys))
         joined = target.alias("target").join(hit, condition, "left")
         columns = [F.when(F.col("source._hit"), assign[c]).otherwise(F.col(f"target.{c}")).alias(c) if c in assign else F.col(f"target.{c}") for c in target.columns]
-        self._write(joined.select(*columns), table, branch, self.pointer(table, branch)["partition_by"])
+        self._write(joined.select(*columns), table, branch, by, kept)
 
     # branches
 
