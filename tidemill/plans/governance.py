@@ -122,15 +122,15 @@ def purchases(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("c_custkey", F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"), F.col("c_nationkey").cast("string").alias("nation"), F.col("c_mktsegment").alias("segment"), "amount", F.lit(1).cast("bigint").alias("quantity"))
 
 
-@query("k_anonymity_cells", f"select month, nation, segment, rows, users, sales, quantity from {_CELLS}")
+@query("k_anonymity_cells", f"select month, nation, segment, rows, users, cast(sales as double) as sales, quantity from {_CELLS}")
 def k_anonymity_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return p.cells(purchases(spark, folder), QUASI, "c_custkey", "amount", "quantity").drop("average")
+    return p.cells(purchases(spark, folder), QUASI, "c_custkey", "amount", "quantity").drop("average").withColumn("sales", F.col("sales").cast("double"))
 
 
 @query("k_anonymity_other_merge", f"""
-select month, case when users < {K} then 'Other' else nation end as nation, case when users < {K} then 'Other' else segment end as segment, sum(rows) as rows, cast(sum(users) as bigint) as users, sum(sales) as sales, cast(sum(quantity) as bigint) as quantity, sum(users) < {K} as is_small from {_CELLS} group by 1, 2, 3""")
+select month, case when users < {K} then 'Other' else nation end as nation, case when users < {K} then 'Other' else segment end as segment, cast(sum(rows) as bigint) as rows, cast(sum(users) as bigint) as users, cast(sum(sales) as double) as sales, cast(sum(quantity) as bigint) as quantity, sum(users) < {K} as is_small from {_CELLS} group by 1, 2, 3""")
 def k_anonymity_other_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return p.k_anonymize(purchases(spark, folder), QUASI, "c_custkey", "amount", "quantity", K, ["nation", "segment"]).drop("average")
+    return p.k_anonymize(purchases(spark, folder), QUASI, "c_custkey", "amount", "quantity", K, ["nation", "segment"]).drop("average").withColumn("sales", F.col("sales").cast("double"))
 
 
 @query("k_anonymity_violations", f"select month, nation, segment, users from {_CELLS} where users < {K}")

@@ -237,35 +237,35 @@ def context_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("daily_ranking", """
 with t as (select cast(ts as date) as date, user_id, count(*) as orders, sum(cast(value as decimal(18,2))) as total, max(value) as largest from events where ts >= timestamp '2024-01-20' - interval 24 hour group by 1, 2)
-select date, user_id, orders, total, largest, row_number() over (partition by date order by total desc, user_id) as rank from t qualify rank <= 100""")
+select date, user_id, orders, cast(total as double) as total, largest, cast(row_number() over (partition by date order by total desc, user_id) as int) as rank from t qualify rank <= 100""")
 def daily_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    return m.daily_ranking(table(spark, folder, "events"), "user_id", "ts", "value", "2024-01-20", top=100)
+    return m.daily_ranking(table(spark, folder, "events"), "user_id", "ts", "value", "2024-01-20", top=100).withColumn("total", F.col("total").cast("double"))
 
 
 @query("top10_latest_window", """
 with w as (select user_id, time_bucket(interval 30 minute, ts) as start, sum(cast(value as decimal(18,2))) as total from events group by 1, 2),
 l as (select * from w qualify row_number() over (partition by user_id order by start desc) = 1)
-select user_id, strftime(start, '%Y-%m-%d %H:%M:%S') as start, total, row_number() over (order by total desc, user_id) as rank from l qualify rank <= 10""")
+select user_id, strftime(start, '%Y-%m-%d %H:%M:%S') as start, cast(total as double) as total, cast(row_number() over (order by total desc, user_id) as int) as rank from l qualify rank <= 10""")
 def top10_latest_window(spark: SparkSession, folder: str) -> DataFrame:
     """Each user's newest window, found by an aggregate instead of a join with the maximum; then the ten largest."""
     windows = table(spark, folder, "events").groupBy("user_id", F.window(F.col("ts").cast("timestamp"), "30 minutes").alias("w")).agg(F.sum(money("value")).alias("total"))
     latest = windows.groupBy("user_id").agg(F.max(F.struct(F.col("w.start").alias("start"), "total")).alias("l")).select("user_id", "l.*")
     top = m.top_numbered(latest, [F.col("total").desc(), F.col("user_id")], 10)
-    return top.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "total", "rank")
+    return top.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.col("total").cast("double").alias("total"), "rank")
 
 
 @query("monthly_top_user", """
-select month, user_id, revenue from (select *, row_number() over (partition by month order by revenue desc, user_id) as rn from (
+select month, user_id, cast(revenue as double) as revenue from (select *, row_number() over (partition by month order by revenue desc, user_id) as rn from (
   select cast(date_trunc('month', o_orderdate) as date) as month, o_custkey as user_id, sum(cast(o_totalprice as decimal(18,2))) as revenue from orders group by 1, 2)) where rn = 1""")
 def monthly_top_user(spark: SparkSession, folder: str) -> DataFrame:
-    return m.monthly_top(table(spark, folder, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
+    return m.monthly_top(table(spark, folder, "orders"), "o_custkey", "o_orderdate", "o_totalprice").withColumn("revenue", F.col("revenue").cast("double"))
 
 
 @query("ctas_month_base", """
-select cast(date_trunc('month', o_orderdate) as date) as month, count(*) as orders, sum(cast(o_totalprice as decimal(18,2))) as revenue from orders group by 1""")
+select cast(date_trunc('month', o_orderdate) as date) as month, count(*) as orders, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as revenue from orders group by 1""")
 def ctas_month_base(spark: SparkSession, folder: str) -> DataFrame:
     """An aggregate stored as a table partitioned by month, read back."""
-    rows = table(spark, folder, "orders").groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month")).agg(F.count(F.lit(1)).alias("orders"), F.sum(money("o_totalprice")).alias("revenue"))
+    rows = table(spark, folder, "orders").groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month")).agg(F.count(F.lit(1)).alias("orders"), F.sum(money("o_totalprice")).cast("double").alias("revenue"))
     store = TableStore(spark, scratch(spark, "store"))
     store.create(rows, "month_base", ["month"])
     return store.read("month_base")

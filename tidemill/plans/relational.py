@@ -215,7 +215,7 @@ def set_difference(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("window_family", """
-select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as latest, lag(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey) as before,
+select o_orderkey, cast(row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as int) as latest, lag(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey) as before,
   first_value(o_orderkey) over w as first_order, last_value(o_orderkey) over w as last_order
 from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and unbounded following)""")
 def window_family(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,13 +228,13 @@ def window_family(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("global_top10", """
-select row_number() over (order by o_totalprice desc, o_orderkey) as rank, o_orderkey from orders order by 1 limit 10""")
+select cast(row_number() over (order by o_totalprice desc, o_orderkey) as int) as rank, o_orderkey from orders order by 1 limit 10""")
 def global_top10(spark: SparkSession, folder: str) -> DataFrame:
     return m.top_numbered(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 10).select("rank", "o_orderkey")
 
 
 @query("top_per_group", """
-select c_mktsegment, c_custkey, rn as rank from (select *, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as rn from customer) where rn <= 3""")
+select c_mktsegment, c_custkey, cast(rn as int) as rank from (select *, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as rn from customer) where rn <= 3""")
 def top_per_group(spark: SparkSession, folder: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc(), "c_custkey"))
     return table(spark, folder, "customer").withColumn("rank", rank).filter("rank <= 3").select("c_mktsegment", "c_custkey", "rank")

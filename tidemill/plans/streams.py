@@ -21,10 +21,10 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("stream_sliding_window", """
 with e as (select user_id, value, time_bucket(interval 30 minute, ts) - k * interval 30 minute as start from events, (values (0), (1)) s(k))
-select user_id, strftime(start, '%Y-%m-%d %H:%M:%S') as window_start, count(*) as orders, sum(cast(value as decimal(18,2))) as total, max(value) as largest from e group by 1, 2""")
+select user_id, strftime(start, '%Y-%m-%d %H:%M:%S') as window_start, count(*) as orders, cast(sum(cast(value as decimal(18,2))) as double) as total, max(value) as largest from e group by 1, 2""")
 def stream_sliding_window(spark: SparkSession, folder: str) -> DataFrame:
     out = p.collected(p.sliding(events(spark, folder), "user_id", "ts", "value", "60 minutes", "30 minutes"), "complete")
-    return out.select("user_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "orders", "total", "largest")
+    return out.select("user_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "orders", F.col("total").cast("double").alias("total"), "largest")
 
 
 @query("stream_dedup", "select event_id, user_id from events")
@@ -93,8 +93,8 @@ def versioned_decode_dlq(spark: SparkSession, folder: str) -> DataFrame:
 @query("stream_latest_ranking", """
 with w as (select user_id, time_bucket(interval 60 minute, ts) as start, sum(cast(value as decimal(18,2))) as total from events group by 1, 2),
 l as (select * from w qualify row_number() over (partition by user_id order by start desc) = 1)
-select user_id, total, row_number() over (order by total desc, user_id) as rank from l qualify rank <= 10""")
+select user_id, cast(total as double) as total, cast(row_number() over (order by total desc, user_id) as int) as rank from l qualify rank <= 10""")
 def stream_latest_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """Windows from the stream, then each user's newest one ranked over the whole state."""
     windows = p.collected(p.sliding(events(spark, folder), "user_id", "ts", "value", "60 minutes", "60 minutes"), "complete")
-    return p.latest_ranking(windows, "user_id", 10).select("user_id", "total", "rank")
+    return p.latest_ranking(windows, "user_id", 10).select("user_id", F.col("total").cast("double").alias("total"), "rank")
