@@ -36,7 +36,7 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     temporary folder is made once and set as the checkpoint folder of this session.
     """
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
         base = context.getCheckpointDir()
@@ -48,4 +48,15 @@ def materialize(df, purpose: str, partition_by: list[str] | None = None):
     path = scratch(df.sparkSession, purpose)
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df) -> None:
+    """Remove the folder of a materialized frame that nothing reads any more."""
+    path = getattr(df, "scratch_path", None)
+    if path:
+        spark = df.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
