@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ class PeriodTotals:
         """The visible state: batches applied, greatest usable event time, and the version of each day's partition."""
         path = self._path(f"{self.root}/manifest.json")
         if not self._fs.exists(path):
-            return {"batches": [], "seen": None, "days": {}, "schema": None}
+            return {"batches": [], "seen": None, "days": {}, "raw": {}, "schema": None}
         stream = self._fs.open(path)
         try:
             return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
@@ -103,11 +104,20 @@ class PeriodTotals:
         row = written.agg(F.max(F.when(usable(self.event, self.ingest), F.col(self.event))), F.collect_set(F.when(F.col("status") == "admitted", F.col("event_day")))).first()
         seen, touched = max((x for x in (before, row[0]) if x), default=None), sorted(row[1])  # touched: calendar days
         names = [*state["batches"], name]
+        held = state["raw"] | {d.isoformat(): [*state["raw"].get(d.isoformat(), []), name] for d in touched}
         if touched:
-            retained = self.retained(names, judged.schema).filter(F.col("status") == "admitted").filter(F.col("event_day").isin(touched))
-            self._totals(retained).hint("rebalance", "event_day").write.mode("overwrite").partitionBy("event_day").parquet(f"{self.root}/totals/{name}")
+            self._totals(self._admitted(held, [d.isoformat() for d in touched], judged.schema)).hint("rebalance", "event_day").write.mode("overwrite").partitionBy("event_day").parquet(f"{self.root}/totals/{name}")
         days = state["days"] | {d.isoformat(): name for d in touched}
-        self._publish({"batches": names, "seen": seen and seen.isoformat(), "days": days, "schema": judged.schema.json()})
+        self._publish({"batches": names, "seen": seen and seen.isoformat(), "days": days, "raw": held, "schema": judged.schema.json()})
+
+    def _admitted(self, held: dict[str, list[str]], days: list[str], schema) -> DataFrame:
+        """The retained raw events of some days, read from the batches that have any, and from nothing else."""
+        paths: dict[str, list[str]] = {}
+        for day in days:
+            for name in held[day]:
+                paths.setdefault(name, []).append(f"{self.root}/raw/{name}/status=admitted/event_day={day}")
+        parts = [self.spark.read.schema(schema).option("basePath", f"{self.root}/raw/{n}").parquet(*found) for n, found in paths.items()]
+        return reduce(DataFrame.unionByName, parts)
 
     def _totals(self, admitted: DataFrame) -> DataFrame:
         return admitted.groupBy("event_day", hour_of(self.event).alias("hour")).agg(
