@@ -45,13 +45,16 @@ class Extractor:
         return store.read(self.table).count()
 
 
-def add_partitions(df: DataFrame, table: str, location: str, partition: str, files: int = 2) -> list[str]:
+def add_partitions(df: DataFrame, table: str, location: str, partition: str, files: int | None = None) -> list[str]:
     """Write Parquet by partition into an external table of the catalog and register each partition that was written.
 
+    ``files`` fixes the number of writing tasks, which suits small loads; by default their sizes follow the data.
+
     The values registered are those of the written folders (one per day of a load), not of a pass over the data.
     """
     spark = df.sparkSession
-    df.repartition(files, partition).write.mode("overwrite").option("compression", "snappy").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(location)
+    spread = df.repartition(files, partition) if files else df.hint("rebalance", partition)
+    spread.write.mode("overwrite").option("compression", "snappy").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(location)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY (`{partition}`) LOCATION '{location}'")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)

@@ -96,7 +96,8 @@ class TableStore:
         snapshot = uuid.uuid4().hex
         target = f"{self.root}/{table}/data/{snapshot}"
         if partition_by:
-            df.repartition(*partition_by).write.partitionBy(*partition_by).parquet(target)
+            # adaptive execution splits a partition that holds a large part of the rows and joins small ones
+            df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(target)
         else:
             df.write.parquet(target)
         written = [f"{snapshot}/{p}" for p in self._partitions(f"{table}/data/{snapshot}", len(partition_by))] if partition_by else [snapshot]
