@@ -188,10 +188,9 @@ with a as (select distinct fund_id, replace({_ascii('fund_name')}, ' ', '') as k
 b as (select distinct fund_id, replace({_ascii('"ファンド名"')}, ' ', '') as k from legacy_fund_master where regexp_matches("ファンド名", '^[ -~！-～　]+$'))
 select distinct a.fund_id as id_a, b.fund_id as id_b from a join b on a.k = b.k""")
 def deterministic_match_query(spark: SparkSession, folder: str) -> DataFrame:
-    """Funds of both masters whose names are equal but for width, case and blanks (names in Latin letters)."""
-    latin = "^[ -~！-～　]+$"
-    new = table(spark, folder, "fund_master_v2").select("fund_id", "fund_name").filter(F.col("fund_name").rlike(latin))
-    old = table(spark, folder, "legacy_fund_master").select("fund_id", F.col("ファンド名").alias("fund_name")).filter(F.col("fund_name").rlike(latin))
+    """Funds of both masters whose names are equal but for width, case and blanks, in any script (the SQL states those in Latin letters only)."""
+    new = table(spark, folder, "fund_master_v2").select("fund_id", "fund_name")
+    old = table(spark, folder, "legacy_fund_master").select("fund_id", F.col("ファンド名").alias("fund_name"))
     return deterministic_match(new, old, ["fund_name"], "fund_id", "fund_id")
 
 
