@@ -60,13 +60,11 @@ def star_fact_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("wide_star_reconcile", "select cast(null as bigint) as l_orderkey, cast(null as int) as l_linenumber, cast(null as varchar) as only_in where false")
 def wide_star_reconcile(spark: SparkSession, folder: str) -> DataFrame:
-    """No row: one customer's lines are the same read from the wide table and from the star."""
-    wide = user_orders(spark, folder).select("o_custkey", "l_orderkey", "l_linenumber")
-    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), m.surrogate(F.col("o_custkey")).alias("sk"))
-    fact = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber").join(orders, "l_orderkey")
-    dim = table(spark, folder, "customer").select(m.surrogate(F.col("c_custkey")).alias("sk"), F.col("c_custkey").alias("o_custkey"))
-    star = fact.join(dim.filter("o_custkey = 7").select("sk"), "sk", "left_semi").select("l_orderkey", "l_linenumber")
-    return m.reconcile(wide.filter("o_custkey = 7").select("l_orderkey", "l_linenumber"), star)
+    """No row: the lines of all customers, with customer, part and amount, are the same in the wide table and in the star."""
+    line = ["l_orderkey", "l_linenumber"]
+    wide = user_orders(spark, folder).select(*line, F.col("o_custkey").cast("string").alias("user_id"), F.col("l_partkey").cast("string").alias("product_id"), money("l_extendedprice").alias("amount"))
+    star = star_fact_orders(spark, folder).withColumnRenamed("o_orderkey", "l_orderkey")
+    return m.reconcile(wide, star).select(*line, "only_in")
 
 
 # writes
