@@ -108,3 +108,21 @@ def test_hot_name_and_empty(spark):
     df = spark.range(600).select(F.col("id").cast("string").alias("user_id"), F.lit("高橋 健一").alias("user_name"), F.lit(None).cast("string").alias("email"), F.date_add(F.lit("1950-01-01").cast("date"), (F.col("id") % 300).cast("int") * 31).alias("birth_date"))
     assert pairs_of(same_names(df, readings, places), "member", "class").count() == 300
     assert same_names(df.limit(0), readings, places).count() == 0
+
+
+def test_candidates_hold_all_links_of_a_hot_date_and_of_a_house(spark):
+    """An initial and its name are candidates among 400 holders of one date, as on one house number."""
+    from tidemill.llm.names import candidates
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("kstnhmr") + rng.choice("aiueo") for _ in range(rng.randint(2, 4)))
+    people = {i: [word(), word()] for i in range(400)} | {1000: ["t", "ono"], 1001: ["takahiro", "ono"], 1002: ["kei"], 1003: ["eki"], 1004: ["abcdef"], 1005: ["bacedf"]}
+    for kind, ids in (("birth", list(people)), ("place", [1000, 1001])):
+        rows = [(i, " ".join(people[i]), people[i], "e", kind) for i in ids]
+        df = spark.createDataFrame(rows, "rep bigint, name string, tokens array<string>, evidence string, kind string")
+        column = {"birth": "birth", "place": "location"}[kind]
+        records_of = {i: person(tokens=people[i], weights=[(t, 3.0) for t in people[i]], **{column: "e"}) for i in ids}
+        want = {(a, b) for a, b in itertools.combinations(sorted(ids), 2) if linked(records_of[a], records_of[b])}
+        got = [tuple(r) for r in candidates(df).collect()]
+        assert (1000, 1001) in want and want <= set(got) and len(got) == len(set(got))
+        assert {tuple(r) for r in candidates(df, block=7).collect()} == set(got)

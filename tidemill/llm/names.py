@@ -4,8 +4,7 @@
    transcribed, titles, legal forms, departments and marks are taken off, short names are replaced by what they stand for.
 2. Names alone do not tell namesakes apart, so records are compared only where another column speaks for them (the same
    mailbox or company domain, the same date of birth, the same house number).  Within such evidence, candidates come from a
-   set-similarity join on the q-grams of the tokens: grams are ordered from rare to frequent over all names, and only the
-   rarest of each name, as many as the threshold requires, are joined on.
+   join on the q-grams of the tokens: all pairs that have one in common, at every size of the group.
 3. Candidates are verified by soft weighted token similarity: tokens pair up by edit distance, initials and contractions,
    and a token weighs more the rarer it is.  Evidence against (two mailboxes, two dates of birth) rules a pair out.
 4. Links are closed to classes by propagating the smallest id.
@@ -21,7 +20,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialize
@@ -230,12 +229,10 @@ def mailbox(email: str | None) -> tuple[str | None, str | None]:
 
 _RECORD = "user_id bigint, name string, tokens array<string>, organisation boolean, box string, domain string, birth string"
 
-#: Name similarity needed beside each kind of evidence, and the gram threshold of its candidate join.
+#: Name similarity needed beside each kind of evidence.
 SURE = {"box": 0.2, "domain": 0.2, "birth": 0.66, "place": 0.68}
-GRAMS = {"box": 0.15, "domain": 0.15, "birth": 0.3, "place": 0.4}
-#: Evidence speaks less the more names share it: the gram threshold rises by this much with every factor of ten in the
-#: number of names (it passes the thresholds above only beyond some hundred names, as with a date that stands for none).
-COMMON, HIGHEST = 0.15, 0.9
+#: Holders of one evidence and gram that one task compares with as many others; only work is divided by it.
+BLOCK = 1000
 
 
 def records(users: DataFrame, readings: DataFrame) -> DataFrame:
@@ -262,27 +259,33 @@ def records(users: DataFrame, readings: DataFrame) -> DataFrame:
     return cast.filter("user_id is not null and user_name is not null").distinct().mapInPandas(run, _RECORD).distinct()
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs of representatives that share evidence and enough rare grams.  ``rows``: rep, name, tokens, evidence, kind."""
-    names = rows.select("name", "tokens").dropDuplicates(["name"])
-    pieces = F.flatten(F.transform("tokens", lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(F.concat(F.lit("^"), t), i, F.lit(2)))))
-    each = names.select("name", F.explode(F.array_distinct(pieces)).alias("gram"))
-    counted = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(counted, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))  # a name's grams
-    base = F.create_map(*(x for k, t in GRAMS.items() for x in (F.lit(k), F.lit(t))))
-    shared = rows.groupBy("evidence").agg(F.count(F.lit(1)).alias("_holders")).filter("_holders > 1")
-    needed = F.greatest(base[F.col("kind")], F.least(F.lit(HIGHEST), COMMON * F.log10(F.col("_holders"))))
-    rows = rows.join(shared, "evidence").withColumn("need", needed).drop("_holders")
-    kept = F.size("grams") - F.ceil(F.col("need") * F.size("grams")).cast("int") + 1
-    prefixed = rows.join(ranked, "name").withColumn("_prefix", F.slice("grams", F.lit(1), kept))
+def grams(token: Column) -> Column:
+    """Pairs of letters and the beginning, of which tokens that are ``alike`` share at least one.
+
+    An initial, beginning or contraction shares the beginning; an edit takes at most two pairs away and an exchange of
+    neighbours three, which leaves none only in tokens of three and six letters, so these have their sorted letters as well.
+    """
+    pairs = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.substring(F.concat(F.lit("^"), token), i, F.lit(2)))
+    letters = F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(token, "")), ""))
+    return F.when(F.length(token).isin(3, 6), F.concat(pairs, F.array(letters))).otherwise(pairs)
+
+
+def candidates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs of representatives that share evidence and a gram, however many hold it.  ``rows``: rep, name, tokens, evidence.
+
+    One gram is the least that verified names share.  The holders of a frequent key are split into blocks, and each pair of
+    blocks is a key of its own, so no task meets a whole group.
+    """
+    shared = rows.groupBy("evidence").agg(F.count(F.lit(1)).alias("_holders")).filter("_holders > 1").select("evidence")
+    pieces = F.array_distinct(F.flatten(F.transform("tokens", grams)))
     # the two strings are joined on as one number; a collision would bring a pair together that verification sorts out
-    loose = F.col("kind").isin("box", "domain")
-    sides = prefixed.select("rep", "evidence", loose.alias("loose"), "need", F.size("grams").alias("size"), F.explode("_prefix.gram").alias("gram"))
-    sides = sides.select("rep", F.xxhash64("evidence", "gram").alias("key"), "loose", "need", "size")
-    a = sides.select(F.col("rep").alias("a"), "key", "loose", "need", F.col("size").alias("size_a"))
-    b = sides.select(F.col("rep").alias("b"), "key", F.col("size").alias("size_b"))
-    near = F.col("loose") | (F.col("need") * F.greatest("size_a", "size_b") <= F.least("size_a", "size_b"))
-    return a.join(b, "key").filter("a < b").filter(near).select("a", "b").distinct()
+    each = rows.join(shared, "evidence").select("rep", "evidence", F.explode(pieces).alias("gram")).select("rep", F.xxhash64("evidence", "gram").alias("key"))
+    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    split = each.join(held, "key").select("rep", "key", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    a = split.select(F.col("rep").alias("a"), F.xxhash64("key", "own", "other").alias("key"))
+    b = split.select(F.col("rep").alias("b"), F.xxhash64("key", "other", "own").alias("key"))
+    return a.join(b, "key").filter("a < b").select("a", "b").distinct()
 
 
 def classes(links: DataFrame, a: str, b: str) -> DataFrame:
