@@ -77,3 +77,12 @@ def test_empty_table(spark):
 def test_weights_of_a_page():
     page = Page("The load was late by an hour.\nwallet / sale / wallet")
     assert page.prose > 20 and page.keyword > 15 and page.keywords == 3
+
+
+def test_stuffing_that_is_copied_or_alone_in_its_length(spark):
+    RNG.seed(3)
+    rows = [(i, prose(RNG.randint(1, 25)) if i % 2 else prose_ja(RNG.randint(1, 25))) for i in range(600)]
+    rows += [(1000 + i, SPAM["stuffed"]) for i in range(400)]  # most of its band
+    rows += [(2000, SPAM["stuffed"] * 60), (2001, prose(3000))]  # each alone in its band
+    out = judge_pages(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").toPandas()
+    assert set(out.doc_id[out.case]) == {*range(1000, 1400), 2000}

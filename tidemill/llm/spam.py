@@ -5,8 +5,8 @@
    often), so texts are never shuffled.
 2. SQL windows turn each spectrum into a rank-frequency curve, and a least-squares line is fitted to it in log-log space.
 3. Slope, residual, number of different words and mixture of word classes (function words, content words, links, numbers)
-   are compared with the medians of prose of the same language and a comparable length, taken over all pages.  A page
-   that is extreme in any of them is a candidate.
+   are compared with the medians of prose of the same language and a comparable length, taken over all different texts.
+   A page that is extreme in any of them is a candidate, as is one with too little prose of its length to compare with.
 4. A candidate is a case if most of its weight is keywords or links, or if it is made of sentences but with so few
    different words for its length that the same keywords must fill them.
 
@@ -189,13 +189,14 @@ class Page:
 #: Weight of keywords and links in a page from which they are its most part (weights are in characters, and the text of a
 #: link list's link counts as keyword); words or links that there must be at least.
 MOST, LEAST_WORDS, LEAST_LINKS = 0.45, 7, 3
-#: Different words of a page as a share of what prose of its language and length has; and most that stuffing can have.
-FEW_WORDS, VOCABULARY = 0.53, 64
+#: Different words of a page as a share of what prose of its language and length has; different prose texts that a band of
+#: length needs to speak for itself; and different words that prose has whatever the corpus.
+FEW_WORDS, LEAST_PAGES, LEAST_TYPES = 0.53, 20, 30
 #: A page is a candidate if a measure lies this many robust standard deviations from prose, or its classes this far.
 EXTREME, DIVERGENT = 2.5, 0.15
 
 _FIELDS = ["tokens", "types", "prose", "keyword", "link", "links", "keywords", "other", "c_function", "c_word", "c_link", "c_digits", "ja"]
-_SCHEMA = ", ".join(f"{f} bigint" for f in _FIELDS) + ", spectrum array<struct<f:bigint,n:bigint>>"
+_SCHEMA = "digest bigint, " + ", ".join(f"{f} bigint" for f in _FIELDS) + ", spectrum array<struct<f:bigint,n:bigint>>"
 
 
 def read_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -221,10 +222,10 @@ def read_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
                     out[name].append(number)
                 spectra.append([{"f": f, "n": n} for f, n in page.spectrum().items()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key).take(pa.array(keys, pa.int64())), *(pa.array(out[f], pa.int64()) for f in _FIELDS), pa.array(spectra, kind)], names=[key, *_FIELDS, "spectrum"]
+                [*(batch.column(c).take(pa.array(keys, pa.int64())) for c in (key, "digest")), *(pa.array(out[f], pa.int64()) for f in _FIELDS), pa.array(spectra, kind)], names=[key, "digest", *_FIELDS, "spectrum"]
             )
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, {_SCHEMA}")
+    return docs.select(key, text, F.xxhash64(text).alias("digest")).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, {_SCHEMA}")
 
 
 def curves(pages: DataFrame, key: str) -> DataFrame:
@@ -248,16 +249,24 @@ def judge_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Every non-empty page with its measures, ``candidate`` and ``case``."""
     pages = materialize(read_pages(docs, key, text), "p10-pages")  # a few numbers a page; read twice below
     measured = pages.drop("spectrum").join(curves(pages, key), key, "left").fillna(0.0, ["slope", "residual"])
-    band = F.floor(F.log2(F.greatest("tokens", F.lit(1))) * 2).cast("int")
+    tokens = F.greatest("tokens", F.lit(1))
+    band = F.floor(F.log2(tokens) * 2).cast("int")
     measured = measured.withColumns({"band": band, "variety": F.log(F.greatest("types", F.lit(1)) / F.greatest("tokens", F.lit(1))), **_shares()})
     names = ["slope", "residual", "variety"]
-    prose = measured.filter("prose > keyword + link + other")
+    prose = measured.filter("prose > keyword + link + other").dropDuplicates(["digest"])  # copies of a text count once
     middle = prose.groupBy("ja", "band").agg(
-        *(F.percentile_approx(n, [0.16, 0.5, 0.84], 500).alias(f"q_{n}") for n in names), *(F.avg(s).alias(f"m_{s}") for s in _shares())
-    )
+        *(F.percentile_approx(n, [0.16, 0.5, 0.84], 500).alias(f"q_{n}") for n in names), *(F.avg(s).alias(f"m_{s}") for s in _shares()),
+        F.percentile_approx("types", 0.5, 500).alias("m_types"), F.count(F.lit(1)).alias("n"),
+    ).filter(F.col("n") >= LEAST_PAGES).drop("n")
     whole = prose.groupBy("ja").agg(
         *(F.percentile_approx(n, [0.16, 0.5, 0.84], 500).alias(f"w_{n}") for n in names), *(F.avg(s).alias(f"v_{s}") for s in _shares())
     )
+    # longer prose has no fewer words than shorter prose, and no greater share of different ones: bounds from other bands
+    other = middle.select("ja", F.col("band").alias("_band"), F.log("m_types").alias("_types"), F.col("q_variety")[1].alias("_variety"))
+    bounds = pages.select("ja", band.alias("band")).distinct().join(F.broadcast(other), "ja").groupBy("ja", "band").agg(
+        F.max(F.when(F.col("_band") < F.col("band"), F.col("_types"))).alias("b_types"), F.max(F.when(F.col("_band") > F.col("band"), F.col("_variety"))).alias("b_variety")
+    )
+    middle = middle.join(bounds, ["ja", "band"], "right")
     # at most two languages and some fifty bands of length: bounded whatever the corpus
     joined = measured.join(F.broadcast(middle), ["ja", "band"], "left").join(F.broadcast(whole), "ja", "left")
     extreme = F.lit(False)
@@ -266,14 +275,18 @@ def judge_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
         spread = F.greatest((q[2] - q[0]) / 2, F.lit(0.02))
         extreme = extreme | (F.abs(F.col(n) - q[1]) > EXTREME * spread)
     distance = sum(F.abs(F.col(s) - F.coalesce(f"m_{s}", f"v_{s}", F.lit(0.0))) for s in _shares()) / 2
-    joined = joined.withColumn("divergence", distance).withColumn("candidate", extreme | (F.col("divergence") > DIVERGENT))
+    # a band speaks for itself unless it is thin or its prose has fewer words than that of shorter bands
+    least = F.least(tokens, F.lit(LEAST_TYPES))
+    trusted = F.log("m_types") >= F.greatest("b_types", F.log(least * FEW_WORDS))
+    usual = F.when(trusted, F.col("q_variety")[1]).otherwise(F.greatest(F.col("b_types") - F.log(tokens), "b_variety", F.log(least / tokens)))
+    few = (F.col("variety") - usual < math.log(FEW_WORDS)) & (F.col("tokens") >= 20)
+    # a page without prose of its length to compare with is a candidate as well
+    joined = joined.withColumn("divergence", distance).withColumn("candidate", extreme | (F.col("divergence") > DIVERGENT) | few | F.col("m_types").isNull())
     bare = F.col("prose") == 0  # without a sentence, a link or two with their words are a list as well
     link = F.when((F.col("links") >= LEAST_LINKS) | bare, F.col("link")).otherwise(0)
     bad = F.col("keyword") + link
     enough = (F.col("keywords") >= LEAST_WORDS) | (F.col("links") >= LEAST_LINKS) | (bare & (F.col("links") >= 2) & (F.col("keywords") >= 4))
     most = (bad >= MOST * (bad + F.col("prose") + F.col("other"))) & enough
-    usual = F.coalesce(F.col("q_variety")[1], F.col("w_variety")[1], F.lit(0.0))
-    few = (F.col("variety") - usual < math.log(FEW_WORDS)) & (F.col("types") <= VOCABULARY) & (F.col("tokens") >= 20)
     stuffed = few & (F.col("other") < 0.4 * (F.col("prose") + bad + F.col("other")))
     return joined.withColumn("case", F.col("candidate") & (most | stuffed)).withColumn("structural", most | stuffed)
 
