@@ -75,3 +75,9 @@ def test_small_parts():
     assert parse('{"a": NaN}') is None and parse("﻿{}") == {} and parse(None) is None
     assert plain("2010/07/31") == plain(20100731) == plain("20100731") and plain("1.50") == plain(1.5) and plain(True) == plain("Y") == plain(1)
     assert canonical("Birth Date", RULES) == ("some_date", 9) and fold(" ＡＢ ") == "ab"
+
+
+def test_renames_are_decided_on_all_records(spark):
+    """No fund is in both files, and only all 1,000 values together show that the two columns are one."""
+    lines = lambda start, name: [json.dumps({"fund_id": f"G{start + i:05d}", name: f"Index {i * 7}"}) for i in range(1000)]
+    assert run(spark, [("a", "2025-01-01", lines(0, "bench")), ("a", "2025-01-02", lines(5000, "yardstick"))]) == [(1, "renamed", "yardstick")]

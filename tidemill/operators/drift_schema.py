@@ -1,7 +1,7 @@
 """One consistent table out of files whose columns drift: similarity flooding between the files of a feed.
 
-1. Every line is read once; of each file and column there remain counts (records, and values by type) and a sample of
-   values: those of the records whose key hashes lowest, so two files sample the same records wherever they share them.
+1. Every line is read once; of each file and column there remain counts (records, and values by type) and the
+   values of all its records by the hash of their key.
 2. Within a feed, each file is matched with the one before.  The two schemas are graphs (columns, their types, and the
    records that hold their values); scores start from names and types and are propagated between pairs of columns and
    the pairs of types and records they touch until nothing moves.  The best consistent one-to-one pairs are kept.
@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Records sampled per file; bounds what the matching of two files looks at, counts are over all records.
-SAMPLE = 256
+#: Values that a task holds before it gives out a partial profile.
+HELD = 200_000
 TYPES = ("string", "number", "boolean")
 
 # Spellings of truth values.
@@ -93,18 +93,16 @@ _PROFILE = "file_id bigint, column string, records bigint, n bigint, n_string bi
 def profile(lines: DataFrame, rules: list[Rule], key_name: str = "fund_id", flush: int = 20_000) -> DataFrame:
     """Partial profiles: one row per task, file and column (the column ``""`` counts the file's records)."""
 
-    def keep(sample: dict[int, str]) -> dict[int, str]:
-        return sample if len(sample) <= SAMPLE else dict(sorted(sample.items())[:SAMPLE])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[int, str], list[int]] = {}
-        samples: dict[tuple[int, str], dict[int, str]] = {}
+        values: dict[tuple[int, str], dict[int, str]] = {}
         known: dict[str, bool] = {}
+        held = 0
 
         def rows() -> pd.DataFrame:
-            out = [(f, c, n[0], n[1], n[2], n[3], n[4], list(s := keep(samples.get((f, c), {}))), list(s.values())) for (f, c), n in counts.items()]
+            out = [(f, c, n[0], n[1], n[2], n[3], n[4], list(s := values.get((f, c), {})), list(s.values())) for (f, c), n in counts.items()]
             counts.clear()
-            samples.clear()
+            values.clear()
             return pd.DataFrame(out, columns=["file_id", "column", "records", "n", "n_string", "n_number", "n_boolean", "keys", "vals"])
 
         for batch in batches:
@@ -126,12 +124,11 @@ def profile(lines: DataFrame, rules: list[Rule], key_name: str = "fund_id", flus
                     if value is not None:
                         n[2 + kind_of(value)] += 1
                         if owner is not None and not known[name]:
-                            sample = samples.setdefault((file_id, name), {})
-                            sample[owner] = plain(value)
-                            if len(sample) > 4 * SAMPLE:
-                                samples[file_id, name] = keep(sample)
-            if len(counts) > flush:
-                yield rows()
+                            values.setdefault((file_id, name), {})[owner] = plain(value)
+                            held += 1
+                if len(counts) > flush or held > HELD:
+                    yield rows()
+                    held = 0
         if counts:
             yield rows()
 
@@ -224,22 +221,25 @@ def flood(old: list[Column], new: list[Column]) -> list[tuple[int, int]]:
     # neighbours of a pair of columns: the pair of their types, and every record whose value both hold
     records = sorted({r for c in old for r in c.values} & {r for c in new for r in c.values})
     place = {r: i for i, r in enumerate(records)}
-    touch = np.zeros((m * k, 9 + len(records)))
+    kinds, hold = np.zeros((m * k, 9)), np.zeros((m * k, len(records)), bool)
     for i, a in enumerate(old):
         for j, b in enumerate(new):
             if a.type() and b.type():
-                touch[i * k + j, TYPES.index(a.type()) * 3 + TYPES.index(b.type())] = 1
+                kinds[i * k + j, TYPES.index(a.type()) * 3 + TYPES.index(b.type())] = 1
             for r in a.values.keys() & b.values.keys():
                 if same(a.values[r], b.values[r]):
-                    touch[i * k + j, 9 + place[r]] = 1
-    out = touch / np.maximum(touch.sum(axis=1, keepdims=True), 1)  # a pair shares its score among its neighbours
+                    hold[i * k + j, place[r]] = True
+    # records that touch the same pairs have the same score, so each such set is one neighbour with a number of times
+    alike, many = np.unique(hold, axis=1, return_counts=True) if records else (hold, np.zeros(0))
+    touch, times = np.hstack([kinds, alike]), np.concatenate([np.ones(9), many])
+    out = touch / np.maximum(touch @ times, 1)[:, None]  # a pair shares its score among its neighbours
     back = touch / np.maximum(touch.sum(axis=0, keepdims=True), 1)  # and they theirs among the pairs
     pairs0 = start.ravel()
-    around0 = np.concatenate([np.eye(3).ravel(), np.ones(len(records))])
+    around0 = np.concatenate([np.eye(3).ravel(), np.ones(len(many))])
     pairs, around = pairs0.copy(), around0.copy()
     for _ in range(100):
         p, a = pairs0 + pairs, around0 + around
-        fresh, near = p + back @ a, a + out.T @ p
+        fresh, near = p + back @ (a * times), a + out.T @ p
         top = max(fresh.max(), near.max(), 1e-12)
         fresh, near = fresh / top, near / top
         moved = np.abs(fresh - pairs).max()
@@ -325,8 +325,8 @@ def follow(feed: str, profiles: pd.DataFrame, rules: list[Rule]) -> list[tuple]:
 def schema_changes(files: DataFrame, lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """Columns (``kind`` = column, with type and canonical name if known) and changes of every file.
 
-    The lines are reduced to profiles before anything is shuffled; a feed's profiles (a file a day at most, columns by
-    256 values) are what one task sees.
+    The lines are reduced to profiles before anything is shuffled; a feed's profiles, with all values of its
+    files, are what one task sees.
     """
     partial = profile(lines, rules)
     listed = files.filter("feed is not null and file_id is not null").select("file_id", "feed", "delivered_on").distinct()
