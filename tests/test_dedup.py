@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from tidemill.operators.dedup import BLOCK, KEYS, RANGES, accept, mark_duplicates, merge_ranges
+from tidemill.operators.dedup import BLOCK, KEYS, RANGES, accept, accept_all, mark_duplicates, merge_ranges
 
 UUID = "0b4f88f9-6cee-44e9-936f-4aaa18bbbdba"
 SCHEMA = "n bigint, id string, ts timestamp_ntz"
@@ -46,9 +46,32 @@ def test_hot_message(spark):
 
 
 def test_ranges_merge(spark):
-    rows = [("p", 0, 1, 3), ("p", 0, 4, 4), ("p", 0, 9, 12), ("p", 0, 10, 11), ("q", 0, 1, 1)]
+    rows = [("p", 1, 3), ("p", 4, 4), ("p", 9, 12), ("p", 10, 11), ("q", 1, 1), ("r", 5, BLOCK - 1), ("r", BLOCK, 3 * BLOCK + 7), ("r", 3 * BLOCK + 9, 3 * BLOCK + 9), ("r", BLOCK - 2, BLOCK + 2)]
     got = sorted(tuple(r) for r in merge_ranges(spark.createDataFrame(rows, RANGES)).collect())
-    assert got == [("p", 0, 1, 4), ("p", 0, 9, 12), ("q", 0, 1, 1)]
+    assert got == [("p", 1, 4), ("p", 9, 12), ("q", 1, 1), ("r", 5, 3 * BLOCK + 7), ("r", 3 * BLOCK + 9, 3 * BLOCK + 9)]
+
+
+def test_spellings_of_sequences_are_different_messages(spark):
+    ids = ["p-12", "p#12", "p_012", "p-012", "p-12", "p-0", "p-00", "P-12", "12-7", "12-07", "p-12"]
+    df = spark.createDataFrame([(i, s, T) for i, s in enumerate(ids)], SCHEMA)
+    assert kept(mark_duplicates(df, "id", "ts", "n")) == [0, 1, 2, 3, 5, 6, 7, 8, 9]
+    assert kept(accept_all(df, "id", "ts", "n")[0]) == [0, 1, 2, 3, 5, 6, 7, 8, 9]
+
+
+def test_a_gapless_producer_is_one_range(spark):
+    df = spark.range(2 * BLOCK + 500).selectExpr("id n", "concat('dev-', id) id", "timestamp_ntz'2025-01-01' + make_dt_interval(0, 0, 0, id % 977) ts")
+    marked, ranges = accept_all(df.union(df.selectExpr("n + 1000000", "id", "ts")), "id", "ts", "n", 3)
+    assert marked.filter("kept").count() == 2 * BLOCK + 500 and [tuple(r) for r in ranges.collect()] == [("dev-", 0, 2 * BLOCK + 499)]
+
+
+def test_a_table_in_batches_is_the_table_at_once(spark):
+    rng = random.Random(7)
+    rows = [(n, rng.choice([None, "", UUID, "odd", f"a-{rng.randint(0, 30)}", f"b:{rng.randint(BLOCK - 9, BLOCK + 9)}"]), None if rng.random() < 0.1 else T + dt.timedelta(hours=rng.randint(0, 99))) for n in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = kept(mark_duplicates(df, "id", "ts", "n"))
+    for batches in (1, 3, 5):
+        assert kept(accept_all(df, "id", "ts", "n", batches)[0]) == want
+    assert accept_all(df.limit(0), "id", "ts", "n")[0].count() == 0
 
 
 def test_batches_against_brute_force(spark):
@@ -66,8 +89,8 @@ def test_batches_against_brute_force(spark):
                 want.append(number)
             inside.add(raw)
         seen |= inside
-        marked, ranges, keys = accept(spark.createDataFrame(batch, SCHEMA), "id", "ts", "n", ranges, keys)
+        marked, ranges, fresh = accept(spark.createDataFrame(batch, SCHEMA), "id", "ts", "n", ranges, keys)
+        keys = keys.union(fresh)
         assert kept(marked) == want
         ranges, keys = spark.createDataFrame(ranges.collect(), RANGES), spark.createDataFrame(keys.collect(), KEYS)
-    assert all(r["lo"] // BLOCK == r["hi"] // BLOCK == r["block"] for r in ranges.collect())
     assert ranges.count() < len([s for s in seen if s and s.startswith("dev")])

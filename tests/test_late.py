@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators.late import PeriodTotals, judge, replay
@@ -41,10 +42,11 @@ def sample(seed, size=150):
     return rows
 
 
-def test_replay_matches_brute_force(spark):
+@pytest.mark.parametrize("live", [0, 2, 5])
+def test_replay_matches_brute_force(spark, live):
     rows = sample(3)
     df = spark.createDataFrame(rows, SCHEMA)
-    store = replay(PeriodTotals(spark, scratch(spark, "late")), df, days=4)
+    store = replay(PeriodTotals(spark, scratch(spark, "late")), df, live)
     late, totals = brute(rows)
     assert {r["n"] for r in store.retained().filter("status = 'late'").collect()} == late and late
     assert {r["hour"]: (r["orders"], r["cents"] or 0) for r in store.totals().collect()} == totals
@@ -61,6 +63,18 @@ def test_a_batch_applied_twice_changes_nothing(spark):
     assert sorted(map(tuple, store.totals().collect())) == first
 
 
+def test_many_batches_are_compacted_and_stay_right(spark, monkeypatch):
+    import tidemill.operators.late as module
+
+    monkeypatch.setattr(module, "COMPACT_AT", 4)
+    rows = sample(5, 120)
+    store = replay(PeriodTotals(spark, scratch(spark, "late")), spark.createDataFrame(rows, SCHEMA), 9)
+    late, totals = brute(rows)
+    assert len(store.manifest()["batches"]) == 10 and len(store.manifest()["stored"]) < 4
+    assert {r["n"] for r in store.retained().filter("status = 'late'").collect()} == late
+    assert {r["hour"]: (r["orders"], r["cents"] or 0) for r in store.totals().collect()} == totals and store.retained().count() == len(rows)
+
+
 def test_empty_table_and_nulls_only(spark):
     empty = spark.createDataFrame([], SCHEMA)
     store = replay(PeriodTotals(spark, scratch(spark, "late")), empty)

@@ -43,6 +43,23 @@ def test_totals_against_brute_force(spark):
             assert (table[k][f"sum_{w}"], table[k][f"avg_{w}"], table[k][f"min_{w}"], table[k][f"max_{w}"], table[k][f"orders_{w}"]) == v
 
 
+def test_silence_ends_a_calendar_and_loses_no_order(spark, monkeypatch):
+    import tidemill.operators.rolling as module
+
+    start, last = dt.date(2025, 1, 1), dt.date(2025, 6, 1)
+    rows = [(1, dt.date(2000, 1, 1), 7), (1, start, 5), (1, dt.date(2025, 5, 30), None), (2, dt.date(2000, 1, 1), 9), (3, start, 4), (3, start + dt.timedelta(days=40), 6), (4, dt.date(1970, 1, 1), 1)]
+    df = spark.createDataFrame(rows, "u int, d date, c bigint")
+    want = {}
+    for u, d, c in rows:
+        until = min([x[1] for x in rows if x[0] == u and x[1] > d] + [last + dt.timedelta(days=1), d + dt.timedelta(days=41)])
+        want |= {(u, d + dt.timedelta(days=n)): 1 for n in range((until - d).days)}
+    for cells in (1 << 19, 50):
+        monkeypatch.setattr(module, "CELLS", cells)
+        got = rolling_totals(df, "u", "d", "c", spark.createDataFrame([(last,)], "x date"), idle=40).collect()
+        assert sorted((r["u"], r["d"]) for r in got) == sorted(want)
+        assert sum(r["orders_7"] for r in got) == 7 * 6 and {(r["u"], r["d"]): r["sum_30"] for r in got}[3, start + dt.timedelta(days=40)] == 0.06
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "u int, d date, c bigint")
     assert rolling_totals(df, "u", "d", "c", spark.createDataFrame([(None,)], "x date")).count() == 0

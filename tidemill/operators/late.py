@@ -22,8 +22,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..session import discard, materialize
 
 LATENESS_HOURS = 2
+#: Folders of batches from which on they are written together.
+COMPACT_AT = 16
 
 
 def usable(event: str, ingest: str) -> Column:
@@ -34,13 +39,18 @@ def hour_of(event: str) -> Column:
     return F.date_trunc("hour", F.col(event)).cast("timestamp_ntz")
 
 
-def batch_watermarks(rows: DataFrame, event: str, ingest: str, before: dt.datetime | None = None) -> DataFrame:
+def batch_tops(rows: DataFrame, event: str, ingest: str) -> DataFrame:
+    """Per ingest time the greatest usable event time of its rows (``_top``)."""
+    seen = F.when(usable(event, ingest), F.col(event))
+    return rows.filter(F.col(ingest).isNotNull()).groupBy(ingest).agg(F.max(seen).alias("_top"))
+
+
+def batch_watermarks(tops: DataFrame, ingest: str, before: dt.datetime | None = None) -> DataFrame:
     """Per ingest time the greatest usable event time of all earlier ones (``before`` carries over from earlier calls).
 
     The running maximum is taken in two steps, over days and inside a day, so that no task sorts all batches.
     """
-    seen = F.when(usable(event, ingest), F.col(event))
-    batches = rows.filter(F.col(ingest).isNotNull()).groupBy(ingest).agg(F.max(seen).alias("_top")).withColumn("_day", F.to_date(ingest))
+    batches = tops.withColumn("_day", F.to_date(ingest))
     earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per calendar day
     days = batches.groupBy("_day").agg(F.max("_top").alias("_of_day"))
     days = days.select("_day", F.greatest(F.max("_of_day").over(earlier), F.lit(before).cast("timestamp_ntz")).alias("_carry"))
@@ -49,9 +59,9 @@ def batch_watermarks(rows: DataFrame, event: str, ingest: str, before: dt.dateti
     return joined.select(ingest, F.greatest(F.max("_top").over(inside), "_carry").alias("seen_before"))
 
 
-def judge(rows: DataFrame, event: str, ingest: str, hours: int = LATENESS_HOURS, before: dt.datetime | None = None) -> DataFrame:
+def judge(rows: DataFrame, event: str, ingest: str, hours: int = LATENESS_HOURS, before: dt.datetime | None = None, tops: DataFrame | None = None) -> DataFrame:
     """``status`` of every row: admitted, late, duplicate or unusable.  ``rows`` has a boolean ``kept``."""
-    marks = batch_watermarks(rows, event, ingest, before)
+    marks = batch_watermarks(batch_tops(rows, event, ingest) if tops is None else tops, ingest, before)
     joined = rows.drop("seen_before").join(marks, ingest, "left")
     wm = F.col("seen_before") - F.expr(f"INTERVAL {int(hours)} HOURS")
     late = F.coalesce(hour_of(event) + F.expr("INTERVAL 1 HOUR") <= wm, F.lit(False))
@@ -97,18 +107,42 @@ class PeriodTotals:
         if name in state["batches"]:
             return
         before = dt.datetime.fromisoformat(state["seen"]) if state["seen"] else None
-        judged = judge(batch, self.event, self.ingest, self.hours, before).withColumn("event_day", F.when(F.col("status") == "admitted", F.to_date(self.event)))
+        tops = materialize(batch_tops(batch, self.event, self.ingest), "late-tops")  # one row per ingest time
+        judged = judge(batch, self.event, self.ingest, self.hours, before, tops).withColumn("event_day", F.when(F.col("status") == "admitted", F.to_date(self.event)))
         raw = f"{self.root}/raw/{name}"
         judged.hint("rebalance", "status", "event_day").write.mode("overwrite").partitionBy("status", "event_day").parquet(raw)
-        written = self.spark.read.schema(judged.schema).parquet(raw)
-        row = written.agg(F.max(F.when(usable(self.event, self.ingest), F.col(self.event))), F.collect_set(F.when(F.col("status") == "admitted", F.col("event_day")))).first()
-        seen, touched = max((x for x in (before, row[0]) if x), default=None), sorted(row[1])  # touched: calendar days
-        names = [*state["batches"], name]
-        held = state["raw"] | {d.isoformat(): [*state["raw"].get(d.isoformat(), []), name] for d in touched}
+        seen = max((x for x in (before, tops.agg(F.max("_top")).first()[0]) if x), default=None)
+        discard(tops)
+        touched = self._days(f"raw/{name}/status=admitted")  # calendar days
+        held = state["raw"] | {d: [*state["raw"].get(d, []), name] for d in touched}
         if touched:
-            self._totals(self._admitted(held, [d.isoformat() for d in touched], judged.schema)).hint("rebalance", "event_day").write.mode("overwrite").partitionBy("event_day").parquet(f"{self.root}/totals/{name}")
-        days = state["days"] | {d.isoformat(): name for d in touched}
-        self._publish({"batches": names, "seen": seen and seen.isoformat(), "days": days, "raw": held, "schema": judged.schema.json()})
+            self._totals(self._admitted(held, touched, judged.schema)).hint("rebalance", "event_day").write.mode("overwrite").partitionBy("event_day").parquet(f"{self.root}/totals/{name}")
+        days = state["days"] | {d: name for d in touched}
+        stored = [*(state.get("stored") or state["batches"]), name]
+        self._publish({"batches": [*state["batches"], name], "stored": stored, "seen": seen and seen.isoformat(), "days": days, "raw": held, "schema": judged.schema.json()})
+        if len(stored) >= COMPACT_AT:
+            self.compact()
+
+    def _days(self, folder: str) -> list[str]:
+        """The days that a written folder has partitions of."""
+        place = self._path(f"{self.root}/{folder}")
+        found = [s.getPath().getName() for s in self._fs.listStatus(place)] if self._fs.exists(place) else []
+        return sorted(n.split("=", 1)[1] for n in found if n.startswith("event_day=") and "__HIVE" not in n)
+
+    def compact(self) -> None:
+        """Write the folders of all batches as one, so that plans do not grow with the number of batches.
+
+        Readers keep the old folders, which are not removed here, until the manifest names the new one.
+        """
+        state = self.manifest()
+        stored = state.get("stored") or state["batches"]
+        if len(stored) < 2:
+            return
+        name = f"compact-{len(state['batches']):05d}"
+        self.retained().hint("rebalance", "status", "event_day").write.mode("overwrite").partitionBy("status", "event_day").parquet(f"{self.root}/raw/{name}")
+        if state["days"]:
+            self.totals().withColumn("event_day", F.to_date("hour")).hint("rebalance", "event_day").write.mode("overwrite").partitionBy("event_day").parquet(f"{self.root}/totals/{name}")
+        self._publish(state | {"stored": [name], "days": dict.fromkeys(state["days"], name), "raw": {d: [name] for d in state["raw"]}})
 
     def _admitted(self, held: dict[str, list[str]], days: list[str], schema) -> DataFrame:
         """The retained raw events of some days, read from the batches that have any, and from nothing else."""
@@ -126,11 +160,9 @@ class PeriodTotals:
 
     def retained(self, names: list[str] | None = None, schema=None) -> DataFrame:
         """All raw events ever taken in, with their status."""
-        from pyspark.sql.types import StructType
-
         state = self.manifest()
         schema = schema or StructType.fromJson(json.loads(state["schema"]))
-        parts = [self.spark.read.schema(schema).option("basePath", f"{self.root}/raw/{n}").parquet(f"{self.root}/raw/{n}") for n in names or state["batches"]]
+        parts = [self.spark.read.schema(schema).option("basePath", f"{self.root}/raw/{n}").parquet(f"{self.root}/raw/{n}") for n in names or state.get("stored") or state["batches"]]
         whole = parts[0]
         for part in parts[1:]:
             whole = whole.unionByName(part)
@@ -147,15 +179,17 @@ class PeriodTotals:
         return whole
 
 
-def replay(store: PeriodTotals, rows: DataFrame, days: int = 7) -> PeriodTotals:
-    """Feed a whole table to the store in order of ingest time, ``days`` of it at a time."""
-    low, high = rows.agg(F.min(F.to_date(store.ingest)), F.max(F.to_date(store.ingest))).first()
-    lost = rows.filter(F.col(store.ingest).isNull())
-    if low is None:
-        store.apply(lost, "b00000")
-        return store
-    for number in range((high - low).days // days + 1):
-        start = low + dt.timedelta(days=days * number)
-        part = rows.filter((F.col(store.ingest) >= F.lit(start).cast("timestamp_ntz")) & (F.col(store.ingest) < F.lit(start + dt.timedelta(days=days)).cast("timestamp_ntz")))
-        store.apply(part.unionByName(lost) if number == 0 else part, f"b{number:05d}")
+def replay(store: PeriodTotals, rows: DataFrame, live: int = 2, last_day: dt.date | None = None) -> PeriodTotals:
+    """Feed a whole table to the store in order of ingest time: the backlog in one call, then each of the ``live`` last days.
+
+    Inside a call every ingest time is still a batch of its own with its own watermark, so the result does not depend on
+    ``live``.  The rows are laid out once by call, so each call reads its own part only.
+    """
+    high = last_day or rows.agg(F.max(F.to_date(store.ingest))).first()[0]
+    start = (high or dt.date(1970, 1, 1)) - dt.timedelta(days=live)
+    number = F.coalesce(F.greatest(F.lit(0), F.datediff(F.to_date(store.ingest), F.lit(start))), F.lit(0))
+    parts = materialize(rows.withColumn("_call", number), "late-calls", partition_by=["_call"])
+    for call in range(live + 1 if high else 1):
+        store.apply(parts.filter(F.col("_call") == call).drop("_call"), f"b{call:05d}")
+    discard(parts)
     return store

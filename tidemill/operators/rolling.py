@@ -4,8 +4,9 @@ A queue of monoid values made of two stacks gives the aggregate of its content w
 aggregate, so minimum and maximum work as well as sums.  Here every value of the queue is a vector over all entities of
 a batch: all entities move along one calendar, and one push or pop serves them all.
 
-Defined results: days run from the entity's first active day to the last day given (one row, ``last_day``), days without
-rows included; null and NaN amounts count as no amount; averages and extremes over no amount are null; rows without
+Defined results: an entity has a row for each day from an active day on, days without rows included, until the last day
+given (one row, ``last_day``) or until it has been silent for ``idle`` days; it goes on with its next active day.  So an
+entity whose clock once said the year 2000 gets that day and the year after it, not a calendar of decades.  Null and NaN amounts count as no amount; averages and extremes over no amount are null; rows without
 entity or day are left out; an empty table gives no rows.
 """
 
@@ -66,11 +67,14 @@ def trailing(values: np.ndarray, length: int, monoid: Monoid) -> np.ndarray:
     return out
 
 
-#: Entities handled as one matrix; bounds the memory of a task whatever a partition holds.
-ENTITIES_AT_ONCE = 2048
+#: Entities taken from a partition at once, and cells (stretches of activity times days) of one matrix; together they bound
+#: the memory of a task whatever a partition holds.
+ENTITIES_AT_ONCE, CELLS = 2048, 1 << 19
+#: Days without activity after which an entity's calendar ends.
+IDLE = 366
 
 
-def rolling_totals(rows: DataFrame, key: str, day: str, cents: str, last_day: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
+def rolling_totals(rows: DataFrame, key: str, day: str, cents: str, last_day: DataFrame, windows: tuple[int, ...] = (7, 30), idle: int = IDLE) -> DataFrame:
     """Per key and day: for each window length w ``sum_w``, ``avg_w`` (per amount), ``min_w``, ``max_w``, ``orders_w``.
 
     ``cents`` is a bigint column, null where there is no amount; days after ``last_day`` are left out.  One shuffle: rows are first reduced to one per key and
@@ -87,10 +91,32 @@ def rolling_totals(rows: DataFrame, key: str, day: str, cents: str, last_day: Da
     kind = dict(rows.dtypes)[key]
     fields = ", ".join(f"sum_{w} double, avg_{w} double, min_{w} double, max_{w} double, orders_{w} bigint" for w in windows)
 
-    def matrix(part: pd.DataFrame) -> pd.DataFrame:
-        ids, row = np.unique(part[key].to_numpy(), return_inverse=True)
-        start, stop = int(part["_day"].min()), int(part["_last"].iloc[0])
-        col, shape = part["_day"].to_numpy() - start, (len(ids), stop - start + 1)
+    if idle < max(windows):
+        raise ValueError("a calendar may only end when all windows are empty")
+
+    def matrices(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """All days of some entities, sorted by key and day: a row of a matrix is a stretch of activity, from its own start."""
+        ids, days, last = part[key].to_numpy(), part["_day"].to_numpy().astype(np.int64), int(part["_last"].iloc[0])
+        fresh = np.ones(len(part), bool)
+        fresh[1:] = (ids[1:] != ids[:-1]) | (np.diff(days) > idle)
+        at = np.flatnonzero(fresh)
+        ends = np.minimum(days[np.append(at[1:], len(part)) - 1] + idle, last)
+        nearer = np.append(ids[at][1:] == ids[at][:-1], False)  # the next stretch is of the same entity
+        ends[nearer] = np.minimum(ends[nearer], days[np.append(at[1:], at[-1])][nearer] - 1)
+        widths = ends - days[at] + 1
+        low = 0
+        while low < len(at):
+            high, widest = low, 0
+            while high < len(at) and (high == low or (high + 1 - low) * max(widest, widths[high]) <= CELLS):
+                widest = max(widest, widths[high])
+                high += 1
+            stop = at[high] if high < len(at) else len(part)
+            yield matrix(part.iloc[at[low] : stop], fresh[at[low] : stop].cumsum() - 1, days[at[low:high]], widths[low:high])
+            low = high
+
+    def matrix(part: pd.DataFrame, row: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> pd.DataFrame:
+        shape = (len(starts), int(widths.max()))
+        col = part["_day"].to_numpy() - starts[row]
 
         def dense(name: str, unit: float) -> np.ndarray:
             out = np.full(shape, unit, dtype=np.int64)
@@ -98,11 +124,10 @@ def rolling_totals(rows: DataFrame, key: str, day: str, cents: str, last_day: Da
             out[row[given], col[given]] = part[name].to_numpy()[given].astype(np.int64)
             return out
 
-        first = np.full(len(ids), shape[1])
-        np.minimum.at(first, row, col)
-        live = np.arange(shape[1])[None, :] >= first[:, None]
+        live = np.arange(shape[1])[None, :] < widths[:, None]
         r, c = np.nonzero(live)
-        out = {key: ids[r], day: (c + start).astype("datetime64[D]")}
+        ids = part[key].to_numpy()[np.searchsorted(row, np.arange(len(starts)))]
+        out = {key: ids[r], day: (c + starts[r]).astype("datetime64[D]")}
         sums, counts, least, most = dense("_sum", 0), dense("_n", 0), dense("_min", LEAST[1]), dense("_max", MOST[1])
         for w in windows:
             n = trailing(counts, w, SUM)[live]
@@ -121,10 +146,10 @@ def rolling_totals(rows: DataFrame, key: str, day: str, cents: str, last_day: Da
             held = part if held is None else pd.concat([held, part], ignore_index=True)
             while held[key].nunique() > ENTITIES_AT_ONCE:
                 cut = int(np.searchsorted(held[key].to_numpy(), held[key].unique()[ENTITIES_AT_ONCE]))
-                yield matrix(held.iloc[:cut])
+                yield from matrices(held.iloc[:cut])
                 held = held.iloc[cut:].reset_index(drop=True)
         if held is not None and len(held):
-            yield matrix(held)
+            yield from matrices(held)
 
     ordered = daily.repartition(F.col(key)).sortWithinPartitions(key, "_day")
     return ordered.mapInPandas(run, f"{key} {kind}, {day} date, {fields}")

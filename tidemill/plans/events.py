@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import mark_duplicates
+from ..operators.dedup import accept_all, mark_duplicates
 from ..operators.late import PeriodTotals, replay, usable
-from ..operators.rolling import rolling_totals
-from ..session import materialize, scratch
+from ..operators.rolling import IDLE, rolling_totals
+from ..session import scratch
 from ..sources import table
 from . import Registry
 
 REGISTRY = query = Registry()
 
-#: Orders whose clock differs from the ingest time by more than this many days have a wrong clock and no known day.
-MAX_CLOCK_DAYS = 60
-
 _KEY = """
   regexp_replace(lower(trim(translate(ID, '０１２３４５６７８９ａｂｃｄｅｆＡＢＣＤＥＦ－｛｝：　', '0123456789abcdefABCDEF-{}: '))), '^urn:uuid:|[{}\\- ]', '', 'g')
 """
@@ -53,7 +50,7 @@ def marked(spark: SparkSession, folder: str) -> DataFrame:
 @query("p6_found", MARKED_SQL + "select delivery_no from marked where not kept")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders_microbatch_window_raw").select("delivery_no", "ID", "ingest_ts")
-    return mark_duplicates(rows, "ID", "ingest_ts", "delivery_no").filter("not kept").select("delivery_no")
+    return accept_all(rows, "ID", "ingest_ts", "delivery_no")[0].filter("not kept").select("delivery_no")
 
 
 @query("p6_messages", MARKED_SQL + """
@@ -61,13 +58,36 @@ select delivery_no, user_id, product_id, quantity, status_flag, cast(created_at
 def p6_messages(spark: SparkSession, folder: str) -> DataFrame:
     """The table with one row of each message."""
     rows = table(spark, folder, "orders_microbatch_window_raw").select("delivery_no", "ID", "user_id", "product_id", "quantity", "status_flag", "created_at", "ingest_ts")
-    kept = mark_duplicates(rows, "ID", "ingest_ts", "delivery_no").filter("kept")
+    kept = accept_all(rows, "ID", "ingest_ts", "delivery_no")[0].filter("kept")
     return kept.select("delivery_no", "user_id", "product_id", "quantity", "status_flag", F.col("created_at").cast("string").alias("created_at"))
 
 
+def _numbered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Events as messages of twenty producers that count without gaps and send every number twice."""
+    text = F.concat(F.lit("device-"), (F.col("event_id") % 20).cast("string"), F.lit(":"), F.floor(F.col("event_id") / 40).cast("string"))
+    rows = table(spark, folder, "events").select(text.alias("message"), F.col("ts").cast("timestamp_ntz").alias("at"), "event_id")
+    return accept_all(rows, "message", "at", "event_id")
+
+
+@query("p6_sequences", """
+select event_id, row_number() over (partition by event_id % 20, event_id // 40 order by ts nulls last, event_id) = 1 as kept from events""")
+def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages with producer sequences, of which ranges are kept instead of keys."""
+    return _numbered(spark, folder)[0].select("event_id", "kept")
+
+
+@query("p6_ranges", """
+with n as (select distinct event_id % 20 as p, event_id // 40 as n from events), g as (select p, n, n - row_number() over (partition by p order by n) as island from n)
+select 'device-' || p || ':' as producer, min(n) as lo, max(n) as hi from g group by p, island""")
+def p6_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranges that are left as state when all those messages were taken in."""
+    return _numbered(spark, folder)[1]
+
+
 def _store(spark: SparkSession, folder: str) -> PeriodTotals:
-    rows = materialize(marked(spark, folder).select("delivery_no", "created_at", "ingest_ts", "cents", "kept"), "p2-marked")
-    return replay(PeriodTotals(spark, scratch(spark, "p2-store")), rows)
+    rows = marked(spark, folder).select("delivery_no", "created_at", "ingest_ts", "cents", "kept")
+    last = table(spark, folder, "orders_microbatch_window_raw").agg(F.max(F.to_date("ingest_ts"))).first()[0]
+    return replay(PeriodTotals(spark, scratch(spark, "p2-store")), rows, last_day=last)
 
 
 @query("p2_found", LATE_SQL + "select delivery_no from judged where late")
@@ -97,15 +117,15 @@ _SELECTS = ", ".join(
 @query("p7_rolling", MARKED_SQL + f""",
 amounts as (
   select user_id, cast(created_at as date) as day, cast(round(case when not isnan(total_usd) then total_usd end * 100) as bigint) as cents
-  from marked where kept and user_id is not null and created_at <= ingest_ts and created_at >= ingest_ts - interval {MAX_CLOCK_DAYS} day),
+  from marked where kept and user_id is not null and created_at <= ingest_ts),
 daily as (select user_id, day, sum(cents) as cents, count(cents) as n, min(cents) as least, max(cents) as most from amounts group by all),
-spans as (select user_id, min(day) as low, (select max(cast(created_at as date)) from orders_microbatch_window_raw
-  where created_at <= ingest_ts and created_at >= ingest_ts - interval {MAX_CLOCK_DAYS} day) as high from daily group by user_id),
+top as (select max(cast(created_at as date)) as high from orders_microbatch_window_raw where created_at <= ingest_ts),
+spans as (select user_id, day as low, least(coalesce(lead(day) over (partition by user_id order by day) - 1, high), day + {IDLE}, high) as high from daily, top),
 spine as (select user_id, cast(unnest(generate_series(low, high, interval 1 day)) as date) as day from spans),
 dense as (select s.user_id, s.day, cents, coalesce(n, 0) as n, least, most from spine s left join daily d on s.user_id = d.user_id and s.day = d.day)
 select user_id, day, {_SELECTS} from dense""")
 def p7_rolling(spark: SparkSession, folder: str) -> DataFrame:
-    clock = usable("created_at", "ingest_ts") & (F.col("created_at") >= F.col("ingest_ts") - F.expr(f"INTERVAL {MAX_CLOCK_DAYS} DAYS"))
+    clock = usable("created_at", "ingest_ts")
     last = table(spark, folder, "orders_microbatch_window_raw").filter(clock).agg(F.max(F.to_date("created_at")))
     rows = marked(spark, folder).filter("kept").filter(clock).select("user_id", F.to_date("created_at").alias("day"), "cents")
     return rolling_totals(rows, "user_id", "day", "cents", last)
