@@ -1,8 +1,10 @@
 import json
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from tidemill.operators.drift_schema import canonical, fold, parse, plain, schema_changes, united
+from tidemill.operators.drift_schema import canonical, fold, parse, plain, propagated, schema_changes, united, valid_records
 
 RULES = [("^(fund_?id|code)$", "fund_id", 1), ("^(category|分類)$", "fund_category", 1), ("^(fee(_rate)?|信託報酬)$", "trust_fee_rate", 1), (".*date$", "some_date", 9)]
 FUNDS = [f"F{i:03d}" for i in range(12)]
@@ -81,3 +83,41 @@ def test_renames_are_decided_on_all_records(spark):
     """No fund is in both files, and only all 1,000 values together show that the two columns are one."""
     lines = lambda start, name: [json.dumps({"fund_id": f"G{start + i:05d}", name: f"Index {i * 7}"}) for i in range(1000)]
     assert run(spark, [("a", "2025-01-01", lines(0, "bench")), ("a", "2025-01-02", lines(5000, "yardstick"))]) == [(1, "renamed", "yardstick")]
+
+
+def changes(spark, files, **more):
+    heads = spark.createDataFrame([(i, feed, day) for i, (feed, day, _) in enumerate(files)], "file_id bigint, feed string, day string").withColumn("delivered_on", F.to_date("day"))
+    lines = spark.createDataFrame([(i, n, line) for i, (_, _, ls) in enumerate(files) for n, line in enumerate(ls)], "file_id bigint, line_no int, line string")
+    return sorted((r["file_id"], r["kind"], r["name"]) for r in schema_changes(heads, lines, RULES, **more).filter("kind <> 'column'").collect())
+
+
+def test_the_propagation_decides(spark):
+    """Names alone find nothing here; with propagation the pairs that share records win over those that only look alike."""
+    files = [("a", "2025-01-01", dump()), ("a", "2025-01-02", dump(renamed("bench", "yardstick"))), ("a", "2025-01-03", dump(lambda r: renamed("category", "分類")(renamed("bench", "yardstick")(r))))]
+    assert changes(spark, files) == [(1, "renamed", "yardstick"), (2, "renamed", "分類")]
+    assert changes(spark, files, steps=0) == [(1, "added", "yardstick"), (1, "removed", "bench"), (2, "added", "分類"), (2, "removed", "category")]
+
+
+def test_pairs_compete_for_a_column():
+    start, none = np.array([[0.1, 0.1], [0.1, 0.1]]), np.zeros((2, 2))
+    records = np.array([[0.9, 0.6], [0.5, 0.1]])
+    score = propagated(start, records, none)
+    assert score[0, 0] > 0.95 and score[1, 0] < 0.5 and score[0, 1] < 0.55  # what the strongest claims, others do not get
+    assert (propagated(start, records, none, 0) == start).all()
+
+
+def test_nested_keys_count(spark):
+    """No values are shared and the names differ; only the keys inside tell which column goes on."""
+    make = lambda start, a, b: [json.dumps({"fund_id": f"G{start + i}", a: {"low": start + i, "high": [{"unit": str(start + i)}]}, b: {"street": f"s{start + i}"}}) for i in range(9)]
+    got = changes(spark, [("a", "2025-01-01", make(0, "band_x", "home_x")), ("a", "2025-01-02", make(500, "band_y", "home_y"))])
+    assert got == [(1, "renamed", "band_y"), (1, "renamed", "home_y")]
+
+
+def test_one_definition_of_a_valid_line(spark):
+    odd = ['﻿{"fund_id": "F1"}', '{"fund_id": NaN}', '{"fund_id": "F2"} x', '{"fund_id": "F3", "fee": 0.50}', "{}", "[1]", None, '{"fund_id": "F4", "fund_id": "F5"}']
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(odd)], "file_id bigint, line_no int, line string")
+    f = spark.createDataFrame([(1, "a", None)], "file_id bigint, feed string, delivered_on date")
+    read = valid_records(lines).collect()
+    assert len(read) == sum(parse(x) is not None for x in odd) == 4 and {r["_values"].get("fee") for r in read} == {"0.50", None}
+    out = united(f, lines, schema_changes(f, lines, RULES), {"fund_id": "string", "trust_fee_rate": "decimal(6,3)"}).collect()
+    assert sorted(str(r["fund_id"]) for r in out) == ["F1", "F3", "F5", "None"]

@@ -1,33 +1,43 @@
 """One consistent table out of files whose columns drift: similarity flooding between the files of a feed.
 
-1. Every line is read once; of each file and column there remain counts (records, and values by type) and the
+1. Every line is read once; of each file and column there remain counts (records, values by type, nested keys) and the
    values of all its records by the hash of their key.
-2. Within a feed, each file is matched with the one before.  The two schemas are graphs (columns, their types, and the
-   records that hold their values); scores start from names and types and are propagated between pairs of columns and
-   the pairs of types and records they touch until nothing moves.  The best consistent one-to-one pairs are kept.
-3. Pairs make fields: a field lives on under changing names, and its type is carried on while it has nulls only.  What
+2. Each file is matched with the one before.  What the values say about a column that went and one that came is counted in
+   Spark over all records: how many records have both, in how many the values agree, how often chance alone would make
+   them agree, and how far the sets of values overlap.
+3. The two schemas are graphs: columns, their names, types and nested keys, and the records that hold their values.  Pairs
+   of columns start with the likeness of their names alone; scores are propagated between a pair of columns and the pairs
+   of types, nested keys and records it touches, and pairs compete for what they share, until nothing moves.  Pairs are
+   accepted by the score they end with, the best consistent ones first.
+4. Pairs make fields: a field lives on under changing names, and its type is carried on while it has nulls only.  What
    differs from file to file is reported; the fields, named by the alias rules, are cast and united.
 
-Defined results: lines that are not a JSON object (null, cut off, other values) do not count; a column belongs to a file
-if at least half of the file's records have its key; ties of types go to string, then number, then boolean; files
-without valid lines have no columns; rows without file or feed are left out; two files of a feed on one day are taken in
-order of their id; nested values count as string.
+Defined results: lines that are not a JSON object (null, cut off, followed by other text, with NaN, other values) do not
+count, for the table as for the changes, and a mark of byte order before a line is no part of it; of a key given twice the
+last holds; a column belongs to a file if at least half of the file's records have its key; ties of types go to string,
+then number, then boolean; files without valid lines have no columns; rows without file or feed are left out; two files of
+a feed on one day are taken in order of their id; a column whose name stays is the same field, whatever its values; nested
+values count as string.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+log = logging.getLogger(__name__)
+
 #: Values that a task holds before it gives out a partial profile.
 HELD = 200_000
 TYPES = ("string", "number", "boolean")
@@ -77,17 +87,35 @@ def kind_of(value: object) -> int:
     return 2 if isinstance(value, bool) else 1 if isinstance(value, (int, float)) else 0
 
 
-def parse(line: str | None) -> dict | None:
+def _refuse(constant: str):
+    raise ValueError(constant)
+
+
+_READ = json.JSONDecoder(parse_constant=_refuse)
+_READ_TEXT = json.JSONDecoder(parse_constant=_refuse, parse_float=str, parse_int=str)
+
+
+def parse(line: str | None, text: bool = False) -> dict | None:
+    """The record of a line, None if it is no JSON object.  With ``text``, numbers stay as they are written."""
     if not line:
         return None
     try:
-        record = json.loads(line.lstrip("﻿"), parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+        record = (_READ_TEXT if text else _READ).decode(line.lstrip("\ufeff"))
     except (ValueError, RecursionError):
         return None
     return record if isinstance(record, dict) else None
 
 
-_PROFILE = "file_id bigint, column string, records bigint, n bigint, n_string bigint, n_number bigint, n_boolean bigint, keys array<bigint>, vals array<string>"
+def nested(value: object, path: str = "") -> Iterator[str]:
+    """Paths of the keys inside a value, with ``[]`` for the elements of a list."""
+    for name, inner in value.items() if isinstance(value, dict) else (("[]", v) for v in value):
+        at = f"{path}.{name}" if path else name
+        yield at
+        if isinstance(inner, (dict, list)):
+            yield from nested(inner, at)
+
+
+_PROFILE = "file_id bigint, column string, records bigint, n bigint, n_string bigint, n_number bigint, n_boolean bigint, kids array<string>, keys array<bigint>, vals array<string>"
 
 
 def profile(lines: DataFrame, rules: list[Rule], key_name: str = "fund_id", flush: int = 20_000) -> DataFrame:
@@ -96,17 +124,29 @@ def profile(lines: DataFrame, rules: list[Rule], key_name: str = "fund_id", flus
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[int, str], list[int]] = {}
         values: dict[tuple[int, str], dict[int, str]] = {}
+        kids: dict[tuple[int, str], set[str]] = {}
         known: dict[str, bool] = {}
+        shown: dict[object, str] = {}  # plain forms of values met before; those of one type only, as 1 == True
         held = 0
 
+        def plainly(value: object) -> str:
+            if type(value) is not str:
+                return plain(value)
+            form = shown.get(value)
+            if form is None:
+                if len(shown) > HELD:
+                    shown.clear()
+                form = shown[value] = plain(value)
+            return form
+
         def rows() -> pd.DataFrame:
-            out = [(f, c, n[0], n[1], n[2], n[3], n[4], list(s := values.get((f, c), {})), list(s.values())) for (f, c), n in counts.items()]
-            counts.clear()
-            values.clear()
-            return pd.DataFrame(out, columns=["file_id", "column", "records", "n", "n_string", "n_number", "n_boolean", "keys", "vals"])
+            out = [(f, c, *n, list(kids.get((f, c), ())), list(s := values.get((f, c), {})), list(s.values())) for (f, c), n in counts.items()]
+            for one in (counts, values, kids):
+                one.clear()
+            return pd.DataFrame(out, columns=[f.split()[0] for f in _PROFILE.split(", ")])
 
         for batch in batches:
-            for file_id, line in zip(batch["file_id"], batch["line"]):
+            for file_id, line in zip(batch["file_id"].to_numpy(), batch["line"].to_numpy()):
                 record = parse(line)
                 if record is None or file_id != file_id or file_id is None:
                     continue
@@ -114,17 +154,22 @@ def profile(lines: DataFrame, rules: list[Rule], key_name: str = "fund_id", flus
                 counts.setdefault((file_id, ""), [0] * 5)[0] += 1
                 owner = None
                 for name, value in record.items():
-                    if known.get(name) is None:
-                        known[name] = canonical(name, rules) == (key_name, 1) or canonical(name, rules)[0] == key_name
+                    if name not in known:
+                        known[name] = canonical(name, rules)[0] == key_name
                     if known[name] and value is not None:
-                        owner = zlib.crc32(plain(value).encode()) + 1
+                        owner = zlib.crc32(plainly(value).encode()) + 1
                 for name, value in record.items():
-                    n = counts.setdefault((file_id, name), [0] * 5)
+                    at = (file_id, name)
+                    n = counts.get(at)
+                    if n is None:
+                        n = counts[at] = [0] * 5
                     n[1] += 1
                     if value is not None:
                         n[2 + kind_of(value)] += 1
+                        if isinstance(value, (dict, list)):
+                            kids.setdefault(at, set()).update(nested(value))
                         if owner is not None and not known[name]:
-                            values.setdefault((file_id, name), {})[owner] = plain(value)
+                            values.setdefault(at, {})[owner] = plainly(value)
                             held += 1
                 if len(counts) > flush or held > HELD:
                     yield rows()
@@ -136,20 +181,16 @@ def profile(lines: DataFrame, rules: list[Rule], key_name: str = "fund_id", flus
 
 
 class Column:
-    __slots__ = ("name", "n", "types", "values", "target", "vague", "label")
+    """A column of one file: its name as the rules read it, its types, and its nested keys."""
 
-    def __init__(self, name: str, rules: list[Rule]) -> None:
-        self.name, self.n, self.types, self.values = name, 0, [0, 0, 0], {}
+    __slots__ = ("name", "types", "kids", "target", "vague", "label")
+
+    def __init__(self, name: str, types: list[int], kids: list[str], rules: list[Rule]) -> None:
+        self.name, self.types, self.kids = name, types, frozenset(kids)
         self.target, priority = canonical(name, rules)
         self.vague = self.target is not None and priority > 1
         self.label = fold(name)
 
-    def add(self, row) -> None:
-        self.n += int(row.n)
-        for i, n in enumerate((row.n_string, row.n_number, row.n_boolean)):
-            self.types[i] += int(n)
-        self.values.update(zip(row.keys, row.vals))
-
     def type(self) -> str | None:
         return TYPES[int(np.argmax(self.types))] if any(self.types) else None
 
@@ -166,99 +207,104 @@ def likeness(a: Column, b: Column) -> float:
 NEAR = 0.0051
 
 
-def same(x: str, y: str) -> bool:
+def _fraction(text):
+    """A plain value with decimals as a number, null for any other."""
+    return F.when(F.contains(text, F.lit(".")) & (F.length(text) < 12), text.try_cast("double"))
+
+
+def _same(x, y):
     """Whether two plain values are the same but for the number of decimals they were written with."""
-    if x == y:
-        return True
-    if ("." in x or "." in y) and len(x) < 12 and len(y) < 12:
-        try:
-            return abs(float(x) - float(y)) <= NEAR
-        except ValueError:
-            return False
-    return False
+    near = F.abs(x.try_cast("double") - y.try_cast("double")) <= NEAR
+    loose = (F.contains(x, F.lit(".")) | F.contains(y, F.lit("."))) & (F.length(x) < 12) & (F.length(y) < 12)
+    return (x == y) | F.coalesce(loose & near, F.lit(False))
 
 
-def rough(x: str) -> str:
+def _rough(x):
     """A plain value with at most two decimals."""
-    if "." in x and len(x) < 12:
-        try:
-            return f"{float(x):.2f}"
-        except ValueError:
-            return x
-    return x
+    return F.coalesce(F.round(_fraction(x), 2).cast("string"), x)
+
 
+_EVIDENCE = "file_id bigint, old string, new string, shared bigint, agree bigint, chance double, overlap bigint, fewest bigint"
 
-def agreement(a: Column, b: Column) -> tuple[float, int]:
-    """How much more often the values of the same records agree than by chance (kappa), and over how many records."""
-    shared = a.values.keys() & b.values.keys()
-    if not shared:
-        return 0.0, 0
-    left, right = [a.values[k] for k in shared], [b.values[k] for k in shared]
-    n = len(shared)
-    agree = sum(map(same, left, right)) / n
-    x, y = Counter(map(rough, left)), Counter(map(rough, right))
-    chance = sum(c / n * y[v] / n for v, c in x.items())
-    return (agree if chance >= 1 else (agree - chance) / (1 - chance)), n
 
+def evidence(values: DataFrame) -> DataFrame:
+    """What values say about every pair of an old and a new column of a file (see ``_EVIDENCE``), counted over all records.
 
-def domain(a: Column, b: Column) -> float:
-    """Overlap of the two columns' values, whatever record they stand in."""
-    x, y = set(map(rough, a.values.values())), set(map(rough, b.values.values()))
-    return len(x & y) / max(min(len(x), len(y)), 1)
+    ``values``: file_id (of the later file), side (0 old, 1 new), column, key, val; one row per column and record.
+    """
+    left = values.filter("side = 0").select("file_id", "key", F.col("column").alias("old"), F.col("val").alias("x"), _rough(F.col("val")).alias("rx"))
+    right = values.filter("side = 1").select("file_id", "key", F.col("column").alias("new"), F.col("val").alias("y"), _rough(F.col("val")).alias("ry"))
+    pair = ["file_id", "old", "new"]
+    both = left.join(right, ["file_id", "key"])
+    agree = both.groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"), F.sum(_same(F.col("x"), F.col("y")).cast("bigint")).alias("agree"))
+    nx, ny = both.groupBy(*pair, F.col("rx").alias("v")).agg(F.count(F.lit(1)).alias("nx")), both.groupBy(*pair, F.col("ry").alias("v")).agg(F.count(F.lit(1)).alias("ny"))
+    chance = nx.join(ny, [*pair, "v"]).groupBy(*pair).agg(F.sum(F.col("nx").cast("double") * F.col("ny")).alias("both"))
+    dx, dy = left.select("file_id", "old", F.col("rx").alias("v")).distinct(), right.select("file_id", "new", F.col("ry").alias("v")).distinct()
+    met = dx.join(dy, ["file_id", "v"]).groupBy(*pair).agg(F.count(F.lit(1)).alias("overlap"))
+    sizes = dx.groupBy("file_id", "old").agg(F.count(F.lit(1)).alias("n_old")).join(dy.groupBy("file_id", "new").agg(F.count(F.lit(1)).alias("n_new")), "file_id")  # a few columns a file
+    out = sizes.join(agree, pair, "left").join(chance, pair, "left").join(met, pair, "left")
+    zero = F.lit(0).cast("bigint")
+    share = F.coalesce(F.col("both") / (F.col("shared").cast("double") * F.col("shared")), F.lit(0.0))
+    return out.select(*pair, F.coalesce("shared", zero).alias("shared"), F.coalesce("agree", zero).alias("agree"), share.alias("chance"), F.coalesce("overlap", zero).alias("overlap"), F.least("n_old", "n_new").alias("fewest"))
+
+
+#: Part of the likeness of names in a pair's score, of equal types and of nested keys, and the score that is accepted; and
+#: what is taken of values that no records share: a share for being unknown, and a part of how far they overlap.
+NAME, TYPE, NESTED, ACCEPTED, UNKNOWN, RANGES = 0.4, 0.02, 0.25, 0.46, 0.21, 0.31
+#: Records that two columns must share for their values to be compared record by record.
+ENOUGH = 4
+#: Steps of propagation within which scores must come to rest.
+STEPS = 200
+
+
+def values_say(shared: int, agree: int, chance: float, overlap: int, fewest: int) -> float:
+    """How strongly the records bear out a pair: agreement beyond chance (kappa), or overlap where few records are shared."""
+    if shared >= ENOUGH:
+        share = agree / shared
+        return max(0.0, share if chance >= 1 else (share - chance) / (1 - chance))
+    ranges = overlap / fewest if fewest else 0.0
+    return UNKNOWN + RANGES * (ranges if fewest >= ENOUGH or shared else min(ranges, 0.5))
+
+
+def propagated(start: np.ndarray, records: np.ndarray, around: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Scores of pairs of columns (old x new) at rest.
+
+    ``start``: what their names say; ``records``: how strongly the pair of their records binds them; ``around``: what comes
+    from the pairs of types and nested keys, which have no other neighbours.  In each step a pair of records passes its
+    score to the pairs of columns it touches, in proportion to the scores these have among all pairs that claim one of the
+    two columns, so of several claims on a column the strongest one takes over.
+    """
+    score = start.copy()
+    for _ in range(steps):
+        claim = records * (score + 1e-9)
+        best = np.maximum(claim.max(axis=1, keepdims=True), claim.max(axis=0, keepdims=True))
+        fresh = start + around + records * claim / np.maximum(best, 1e-12)
+        moved = np.abs(fresh - score).max()
+        score = fresh
+        if moved < 1e-4:
+            return score
+    if steps:
+        log.warning("scores still move by %.5f after %d steps", moved, steps)
+    return score
 
 
-def flood(old: list[Column], new: list[Column]) -> list[tuple[int, int]]:
-    """Consistent pairs of columns that go on under another name."""
+def flood(old: list[Column], new: list[Column], said: dict[tuple[str, str], tuple], steps: int = STEPS) -> list[tuple[int, int]]:
+    """Consistent pairs of columns that go on under another name.  ``said`` is the evidence by (old, new) name."""
     if not old or not new:
         return []
-    m, k = len(old), len(new)
     names = np.array([[likeness(a, b) for b in new] for a in old])
-    proof = np.array([[agreement(a, b) for b in new] for a in old])
-    kappa, shared = proof[..., 0], proof[..., 1]
-    ranges = np.array([[domain(a, b) for b in new] for a in old])
-    same_type = np.array([[a.type() == b.type() for b in new] for a in old])
-    start = 0.5 * names + 0.4 * np.where(shared >= 3, np.maximum(kappa, 0), 0.5 * ranges) + 0.1 * same_type
-    # neighbours of a pair of columns: the pair of their types, and every record whose value both hold
-    records = sorted({r for c in old for r in c.values} & {r for c in new for r in c.values})
-    place = {r: i for i, r in enumerate(records)}
-    kinds, hold = np.zeros((m * k, 9)), np.zeros((m * k, len(records)), bool)
-    for i, a in enumerate(old):
-        for j, b in enumerate(new):
-            if a.type() and b.type():
-                kinds[i * k + j, TYPES.index(a.type()) * 3 + TYPES.index(b.type())] = 1
-            for r in a.values.keys() & b.values.keys():
-                if same(a.values[r], b.values[r]):
-                    hold[i * k + j, place[r]] = True
-    # records that touch the same pairs have the same score, so each such set is one neighbour with a number of times
-    alike, many = np.unique(hold, axis=1, return_counts=True) if records else (hold, np.zeros(0))
-    touch, times = np.hstack([kinds, alike]), np.concatenate([np.ones(9), many])
-    out = touch / np.maximum(touch @ times, 1)[:, None]  # a pair shares its score among its neighbours
-    back = touch / np.maximum(touch.sum(axis=0, keepdims=True), 1)  # and they theirs among the pairs
-    pairs0 = start.ravel()
-    around0 = np.concatenate([np.eye(3).ravel(), np.ones(len(many))])
-    pairs, around = pairs0.copy(), around0.copy()
-    for _ in range(100):
-        p, a = pairs0 + pairs, around0 + around
-        fresh, near = p + back @ (a * times), a + out.T @ p
-        top = max(fresh.max(), near.max(), 1e-12)
-        fresh, near = fresh / top, near / top
-        moved = np.abs(fresh - pairs).max()
-        pairs, around = fresh, near
-        if moved < 1e-4:
-            break
-    score, found, used = pairs.reshape(m, k), [], (set(), set())
+    sure = lambda c: c.target is not None and not c.vague
+    # the graph has no pair of two columns that the rules know by different names
+    apart = np.array([[sure(a) and sure(b) and a.target != b.target for b in new] for a in old])
+    nothing = (0, 0, 0.0, 0, 0)
+    records = np.array([[values_say(*said.get((a.name, b.name), nothing)) for b in new] for a in old])
+    around = np.array([[TYPE * (a.type() == b.type()) + NESTED * len(a.kids & b.kids) / max(len(a.kids | b.kids), 1) for b in new] for a in old])
+    score = propagated(np.where(apart, 0.0, NAME * names), np.where(apart, 0.0, records), np.where(apart, 0.0, around), steps)
+    found: list[tuple[int, int]] = []
+    used: tuple[set[int], set[int]] = (set(), set())
     for at in np.argsort(-score, axis=None, kind="stable"):
-        i, j = divmod(int(at), k)
-        if i in used[0] or j in used[1]:
-            continue
-        known = old[i].target and new[j].target and not (old[i].vague or new[j].vague)
-        if known and names[i, j] == 0:
-            continue
-        if shared[i, j] >= 4:
-            sure = kappa[i, j] >= (0.25 if names[i, j] >= 0.5 else 0.45)
-        else:
-            sure = names[i, j] >= 0.6 or (names[i, j] >= 0.3 and ranges[i, j] >= 0.5) or (ranges[i, j] >= 0.8 and min(len(old[i].values), len(new[j].values)) >= 4 and not known)
-        if sure:
+        i, j = divmod(int(at), len(new))
+        if score[i, j] >= ACCEPTED and i not in used[0] and j not in used[1]:
             found.append((i, j))
             used[0].add(i)
             used[1].add(j)
@@ -268,31 +314,26 @@ def flood(old: list[Column], new: list[Column]) -> list[tuple[int, int]]:
 _CHANGES = "feed string, file_id bigint, kind string, name string, previous string, type string, target string"
 
 
-def follow(feed: str, profiles: pd.DataFrame, rules: list[Rule]) -> list[tuple]:
+def follow(feed: str, columns: pd.DataFrame, said: pd.DataFrame, rules: list[Rule], steps: int = STEPS) -> list[tuple]:
     """All columns and changes of one feed.  ``kind`` is ``column`` for what a file has, else the change."""
     files: dict[int, dict[str, Column]] = {}
-    records: dict[int, int] = {}
-    order = profiles[["file_id", "delivered_on"]].drop_duplicates().sort_values(["delivered_on", "file_id"], na_position="first")
-    for row in profiles.itertuples(index=False):
-        if row.column is None or row.column != row.column:
-            continue
-        columns = files.setdefault(row.file_id, {})
-        if row.column == "":
-            records[row.file_id] = records.get(row.file_id, 0) + int(row.records)
-        else:
-            if row.column not in columns:
-                columns[row.column] = Column(row.column, rules)
-            columns[row.column].add(row)
+    order = columns[["file_id", "delivered_on"]].drop_duplicates().sort_values(["delivered_on", "file_id"], na_position="first")
+    for row in columns.itertuples(index=False):
+        if isinstance(row.column, str):
+            files.setdefault(row.file_id, {})[row.column] = Column(row.column, [int(row.n_string), int(row.n_number), int(row.n_boolean)], list(row.kids), rules)
+    heard: dict[int, dict[tuple[str, str], tuple]] = {}
+    for row in said.itertuples(index=False):
+        heard.setdefault(row.file_id, {})[row.old, row.new] = (row.shared, row.agree, row.chance, row.overlap, row.fewest)
     out: list[tuple] = []
     fields: dict[str, dict] = {}  # current name -> the field: its last known type and its names so far
     before: dict[str, Column] | None = None
     for file_id in order["file_id"]:
-        now = {n: c for n, c in files.get(file_id, {}).items() if 2 * c.n >= records.get(file_id, 0) > 0}
+        now = dict(sorted(files.get(file_id, {}).items()))
         new_fields: dict[str, dict] = {}
         renamed: dict[str, str] = {}
         if before is not None:
             gone, come = [c for n, c in before.items() if n not in now], [c for n, c in now.items() if n not in before]
-            renamed = {come[j].name: gone[i].name for i, j in flood(gone, come)}
+            renamed = {come[j].name: gone[i].name for i, j in flood(gone, come, heard.get(file_id, {}), steps)}
         for name, column in now.items():
             previous = renamed.get(name, name)
             field = fields.get(previous) if before is not None and previous in before else None
@@ -305,11 +346,10 @@ def follow(feed: str, profiles: pd.DataFrame, rules: list[Rule]) -> list[tuple]:
                         out.append((feed, file_id, "renamed", name, previous, kind, None))
                     if kind and field["type"] and kind != field["type"]:
                         out.append((feed, file_id, "retyped", name, previous, kind, None))
-            field = field or {"type": None, "target": None, "names": []}
+            field = field or {"type": None, "target": None}
             field["type"] = kind or field["type"]
             if column.target and not column.vague:
                 field["target"] = field["target"] or column.target
-            field["names"].append((file_id, name, field["type"]))
             new_fields[name] = field
         if before is not None:
             for name in before:
@@ -322,20 +362,58 @@ def follow(feed: str, profiles: pd.DataFrame, rules: list[Rule]) -> list[tuple]:
     return [(*row[:6], row[6]["target"] if isinstance(row[6], dict) else None) for row in out]
 
 
-def schema_changes(files: DataFrame, lines: DataFrame, rules: list[Rule]) -> DataFrame:
+def schema_changes(files: DataFrame, lines: DataFrame, rules: list[Rule], steps: int = STEPS) -> DataFrame:
     """Columns (``kind`` = column, with type and canonical name if known) and changes of every file.
 
-    The lines are reduced to profiles before anything is shuffled; a feed's profiles, with all values of its
-    files, are what one task sees.
+    The lines are reduced to profiles before anything is shuffled, and the values of those columns only that went or came
+    are compared, in Spark; what one task sees of a feed is a row per file and column and one per compared pair.
     """
-    partial = profile(lines, rules)
+    partial = materialize(profile(lines, rules), "p1-profile")
     listed = files.filter("feed is not null and file_id is not null").select("file_id", "feed", "delivered_on").distinct()
-    joined = listed.join(partial, "file_id", "left")
+    numbers = ["records", "n", "n_string", "n_number", "n_boolean"]
+    counts = partial.groupBy("file_id", "column").agg(*(F.sum(c).alias(c) for c in numbers), F.array_distinct(F.flatten(F.collect_set("kids"))).alias("kids"))
+    whole = counts.filter("column = ''").select("file_id", F.col("records").alias("_records"))
+    present = materialize(counts.filter("column <> ''").drop("records").join(whole, "file_id").filter("2 * n >= _records").drop("_records"), "p1-columns")
+    before = F.lag("file_id").over(Window.partitionBy("feed").orderBy(F.col("delivered_on").asc_nulls_first(), "file_id"))  # a row per file
+    pairs = listed.withColumn("_old", before).filter("_old is not null").select("file_id", "_old")
+    names = present.select("file_id", "column")
+    was = pairs.join(names.withColumnRenamed("file_id", "_old"), "_old").select("file_id", "column", F.col("_old").alias("_at"))
+    now = pairs.join(names, "file_id").select("file_id", "column", F.col("file_id").alias("_at"))
+    gone, come = was.join(now, ["file_id", "column"], "left_anti").withColumn("side", F.lit(0)), now.join(was, ["file_id", "column"], "left_anti").withColumn("side", F.lit(1))
+    both_sides = gone.select("file_id").distinct().join(come.select("file_id").distinct(), "file_id")
+    asked = gone.unionByName(come).join(both_sides, "file_id", "left_semi")
+    held = partial.select(F.col("file_id").alias("_at"), "column", F.arrays_zip("keys", "vals").alias("_kv")).filter("size(_kv) > 0")
+    values = asked.join(held, ["_at", "column"]).select("file_id", "side", "column", F.explode("_kv").alias("_e"))
+    values = values.groupBy("file_id", "side", "column", F.col("_e.keys").alias("key")).agg(F.max("_e.vals").alias("val"))
+    said = materialize(evidence(materialize(values, "p1-values")).join(listed.select("file_id", "feed"), "file_id"), "p1-evidence")
+    columns = listed.join(present, "file_id", "left")
+
+    def run(key, group, told):  # noqa: ANN001, ANN202
+        rows = follow(key[0], group, told, rules, steps) if len(group) else []
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _CHANGES.split(", ")])
+
+    return columns.groupBy("feed").cogroup(said.groupBy("feed")).applyInPandas(run, _CHANGES)
+
+
+def valid_records(lines: DataFrame) -> DataFrame:
+    """``file_id`` and ``_values`` (key to text as written) of every line that is a JSON object, by the same reading as the
+    profiles."""
+
+    def text(value: object) -> str | None:
+        if value is None or isinstance(value, str):
+            return value
+        return json.dumps(value, ensure_ascii=False)
 
-    def run(key, group):  # noqa: ANN001, ANN202
-        return pd.DataFrame(follow(key[0], group, rules), columns=[c.split()[0] for c in _CHANGES.split(", ")])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for file_id, line in zip(batch["file_id"].to_numpy(), batch["line"].to_numpy()):
+                record = parse(line, True)
+                if record is not None and file_id == file_id and file_id is not None:
+                    out.append((int(file_id), {k: text(v) for k, v in record.items()}))
+            yield pd.DataFrame(out, columns=["file_id", "_values"])
 
-    return joined.groupBy("feed").applyInPandas(run, _CHANGES)
+    return lines.select("file_id", "line").mapInPandas(run, "file_id bigint, _values map<string,string>")
 
 
 def _typed(text, kind: str):
@@ -363,9 +441,8 @@ def united(files: DataFrame, lines: DataFrame, changes: DataFrame, fields: dict[
     named = columns.join(voted, "name", "left").select("file_id", "name", F.coalesce("target", "usual").alias("target"))
     mapping = named.filter(F.col("target").isin(*fields)).groupBy("file_id", "target").agg(F.min("name").alias("name"))
     mapping = mapping.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "name"))).alias("_names"))  # a file's columns
-    values = lines.select("file_id", F.from_json("line", "map<string,string>", {"mode": "PERMISSIVE"}).alias("_values")).filter("size(_values) > 0")
-    joined = values.join(mapping, "file_id").join(files.select("file_id", "feed", "delivered_on"), "file_id")
-    used = F.map_values("_names")
+    joined = valid_records(lines).join(mapping, "file_id", "left").join(files.select("file_id", "feed", "delivered_on"), "file_id")
+    used = F.coalesce(F.map_values("_names"), F.array().cast("array<string>"))
     typed = [_typed(F.col("_values")[F.col("_names")[name]], kind).alias(name) for name, kind in fields.items()]
     extras = F.to_json(F.map_filter("_values", lambda k, v: ~F.array_contains(used, k)))
-    return joined.select(F.col("feed").alias("source"), "file_id", F.col("delivered_on").alias("as_of"), *typed, extras.alias("extras")).distinct()
+    return joined.select(F.col("feed").alias("source"), "file_id", F.col("delivered_on").alias("as_of"), *typed, extras.alias("extras"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_width, folded
-from ..operators.drift_schema import canonical, schema_changes, united
+from ..operators.drift_schema import canonical, schema_changes, united, valid_records
 from ..operators.history import versions
 from ..sources import table
 from . import Registry
@@ -69,6 +69,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift(spark, folder).filter("kind <> 'column'").select("file_id", F.col("kind").alias("change_kind"), F.col("name").alias("column_name"))
 
 
+@query("p1_records", """
+select l.file_id, count(*) as records from fund_file_lines l where json_valid(l.line) and json_type(l.line) = 'OBJECT' and l.file_id is not null group by 1""")
+def p1_records(spark: SparkSession, folder: str) -> DataFrame:
+    """How many records each file has: the lines that count, for the changes and for the table alike."""
+    return valid_records(table(spark, folder, "fund_file_lines")).groupBy("file_id").agg(F.count(F.lit(1)).alias("records"))
+
+
 #: The columns of the one fund table.
 FIELDS = {
     "fund_id": "string", "fund_category": "string", "trust_fee_rate": "decimal(6,3)", "is_active": "boolean", "fund_name": "string",
@@ -89,4 +96,4 @@ def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
         extras = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rest))) if rest else F.lit(None).cast("string")
         whole = whole.unionByName(master.select(F.lit(name).alias("source"), F.lit(None).cast("bigint").alias("file_id"), F.col("ingest_date").alias("as_of"), *typed, extras.alias("extras")))
     category = F.upper(F.trim(fold_width(F.col("fund_category"))))
-    return whole.withColumn("fund_category", category)
+    return whole.withColumn("fund_category", category).distinct()  # repeated rows of files and masters alike
