@@ -86,3 +86,17 @@ def test_stuffing_that_is_copied_or_alone_in_its_length(spark):
     rows += [(2000, SPAM["stuffed"] * 60), (2001, prose(3000))]  # each alone in its band
     out = judge_pages(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").toPandas()
     assert set(out.doc_id[out.case]) == {*range(1000, 1400), 2000}
+
+
+def test_the_curves_and_the_divergence_decide(spark):
+    """Notes with a list of links read like prose: the check alone would take them in, their words do not let it."""
+    RNG.seed(5)
+    rows = [(i, prose(RNG.randint(8, 25)) if i % 2 else prose_ja(RNG.randint(8, 25))) for i in range(600)]
+    listed = lambda n, make: "\n".join(f"[{i}] {url()}\n{make(2 if make is prose else 4)}" for i in range(n))
+    rows += [(1000 + i, listed(8, prose if i % 2 else prose_ja)) for i in range(60)]
+    rows += [(2000 + i, text) for i, text in enumerate(SPAM.values())]
+    out = judge_pages(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").toPandas()
+    notes, spam = out[out.doc_id.between(1000, 1999)], out[out.doc_id >= 2000]
+    assert notes.left.mean() > 0.5 and not notes.case.any()  # the check would be wrong on most of them
+    assert spam.case.mean() > 0.9 and out[out.doc_id < 1000].case.sum() == 0
+    assert spam.divergence.min() > out[out.doc_id < 1000].divergence.median()

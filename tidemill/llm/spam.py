@@ -1,17 +1,19 @@
 """Keyword-stuffed pages, tag lists and link lists.
 
 1. Each page is read once: its words are counted, and its lines are weighed as sentences, keywords, links, or data and
-   code.  What leaves this step is a few numbers per page and the page's frequency spectrum (how many words occur how
-   often), so texts are never shuffled.
+   code.  What leaves this step is a few numbers per page, its counts of words, and its frequency spectrum (how many words
+   occur how often), so texts are never shuffled.
 2. SQL windows turn each spectrum into a rank-frequency curve, and a least-squares line is fitted to it in log-log space.
-3. Slope, residual, number of different words and mixture of word classes (function words, content words, links, numbers)
-   are compared with the medians of prose of the same language and a comparable length, taken over all different texts.
-   A page that is extreme in any of them is a candidate, as is one with too little prose of its length to compare with.
-4. A candidate is a case if most of its weight is keywords or links, or if it is made of sentences but with so few
-   different words for its length that the same keywords must fill them.
+3. Prose of each language and length, taken over all different texts, gives the usual slope, residual and number of
+   different words, and the usual distribution of words, from which every page's Jensen-Shannon divergence is taken.
+   A page is flagged if it diverges more, or if its curve is more extreme, than prose of its language and length does.
+4. Of the flagged pages those are cases that are not data or code for the most part and that hold keywords or links in some
+   number, or so few different words for their length that the same keywords must fill their sentences.  This check alone
+   would take in many pages of sentences with lists; the curves and the divergence tell which of them read like prose.
 
 Defined results: null, empty and very short texts are no cases; equal texts are judged alike; the language is told from
-the script of the text, never from a ``lang`` column; texts are read whole.
+the script of the text, never from a ``lang`` column; texts are read whole; pages of a length of which there is too little
+prose are compared with all prose of their language.
 """
 
 from __future__ import annotations
@@ -96,12 +98,12 @@ def is_prose(kinds: list[int]) -> bool:
 class Page:
     """Weights (in characters) of the parts of a text, and its words."""
 
-    __slots__ = ("words", "kinds", "prose", "keyword", "link", "links", "keywords", "other")
+    __slots__ = ("words", "kinds", "prose", "keyword", "link", "links", "keywords", "other", "tags")
 
     def __init__(self, text: str) -> None:
         self.words: Counter[str] = Counter()
         self.kinds = [0] * 6
-        self.prose = self.keyword = self.link = self.links = self.keywords = self.other = 0
+        self.prose = self.keyword = self.link = self.links = self.keywords = self.other = self.tags = 0
         if not text.isascii():
             text = UNSEEN.sub("", text)
             if not unicodedata.is_normalized("NFKC", text):
@@ -139,6 +141,7 @@ class Page:
             marks = len(plain)
             plain = TAG.sub(" ", plain) + " " + " | ".join(shown)
             marks -= len(plain)
+            self.tags += line.count("<")
         if blob:
             blobs = [b for b in BLOB.findall(plain) if any(c.isdigit() for c in b)]
             for b in blobs:
@@ -185,44 +188,66 @@ class Page:
     def spectrum(self) -> dict[int, int]:
         return Counter(self.words.values())
 
+    def distribution(self) -> dict[str, int]:
+        """Counts of words, where all numbers are one word, and so are all links and all tags."""
+        out = {w: n for w, n in self.words.items() if not w[0].isdigit()}
+        for name, n in (("<number>", sum(self.words.values()) - sum(out.values())), ("<link>", self.links), ("<tag>", self.tags)):
+            if n:
+                out[name] = n
+        return out
 
-#: Weight of keywords and links in a page from which they are its most part (weights are in characters, and the text of a
-#: link list's link counts as keyword); words or links that there must be at least.
-MOST, LEAST_WORDS, LEAST_LINKS = 0.45, 7, 3
+
+#: Weight of keywords and links that makes a flagged page a case, as a share of the page (weights are in characters, and the
+#: text of a link list's link counts as keyword); words or links that there must be at least.
+SOME, LEAST_WORDS, LEAST_LINKS = 0.2, 7, 3
 #: Different words of a page as a share of what prose of its language and length has; different prose texts that a band of
 #: length needs to speak for itself; and different words that prose has whatever the corpus.
 FEW_WORDS, LEAST_PAGES, LEAST_TYPES = 0.53, 20, 30
-#: A page is a candidate if a measure lies this many robust standard deviations from prose, or its classes this far.
-EXTREME, DIVERGENT = 2.5, 0.15
+#: A page is flagged if its divergence lies this many robust standard deviations above that of prose, or the slope or the
+#: residual of its curve this many away from it.
+DIVERGENT, EXTREME = 2.0, 5.0
+#: Words of one language and octave of length that the reference distribution names; the rest of a page counts as unnamed.
+VOCABULARY = 2000
+
+_FIELDS = ["tokens", "types", "prose", "keyword", "link", "links", "keywords", "other", "counted", "ja"]
+_SCHEMA = "digest bigint, " + ", ".join(f"{f} bigint" for f in _FIELDS) + ", spectrum array<struct<f:bigint,n:bigint>>, words array<struct<w:string,n:bigint>>"
 
-_FIELDS = ["tokens", "types", "prose", "keyword", "link", "links", "keywords", "other", "c_function", "c_word", "c_link", "c_digits", "ja"]
-_SCHEMA = "digest bigint, " + ", ".join(f"{f} bigint" for f in _FIELDS) + ", spectrum array<struct<f:bigint,n:bigint>>"
+
+def _lists(rows: list[dict], kind: pa.DataType, names: tuple[str, str]) -> pa.Array:
+    """Dictionaries as a list column of pairs."""
+    ends = [0]
+    for row in rows:
+        ends.append(ends[-1] + len(row))
+    keys, values = [k for r in rows for k in r], [v for r in rows for v in r.values()]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(keys, kind), pa.array(values, pa.int64())], names=names))
 
 
 def read_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row of numbers per non-empty text, in one pass without a shuffle."""
-    kind = pa.list_(pa.struct([("f", pa.int64()), ("n", pa.int64())]))
+    """One row of numbers and counts per non-empty text, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out, spectra = [], {f: [] for f in _FIELDS}, []
+            keys, out, spectra, words = [], {f: [] for f in _FIELDS}, [], []
             column = batch.column(text)
             for i in range(batch.num_rows):
                 value = column[i].as_py()
                 if not value:
                     continue
                 page = Page(value)
-                the, function, word, grammar, ja, digits = page.kinds
+                the, function, word, grammar, ja, _ = page.kinds
+                counts = page.distribution()
                 row = (
                     sum(page.words.values()), len(page.words), page.prose, page.keyword, page.link, page.links, page.keywords, page.other,
-                    the + function + grammar, word + ja, page.links, digits, int(grammar + ja > the + function + word),
+                    sum(counts.values()), int(grammar + ja > the + function + word),
                 )
                 keys.append(i)
                 for name, number in zip(_FIELDS, row):
                     out[name].append(number)
-                spectra.append([{"f": f, "n": n} for f, n in page.spectrum().items()])
+                spectra.append(page.spectrum())
+                words.append(counts)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(pa.array(keys, pa.int64())) for c in (key, "digest")), *(pa.array(out[f], pa.int64()) for f in _FIELDS), pa.array(spectra, kind)], names=[key, "digest", *_FIELDS, "spectrum"]
+                [*(batch.column(c).take(pa.array(keys, pa.int64())) for c in (key, "digest")), *(pa.array(out[f], pa.int64()) for f in _FIELDS), _lists(spectra, pa.int64(), ("f", "n")), _lists(words, pa.string(), ("w", "n"))],
+                names=[key, "digest", *_FIELDS, "spectrum", "words"],
             )
 
     return docs.select(key, text, F.xxhash64(text).alias("digest")).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, {_SCHEMA}")
@@ -240,53 +265,81 @@ def curves(pages: DataFrame, key: str) -> DataFrame:
     return fit.select(key, F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce(F.sqrt(left / F.col("points")), F.lit(0.0)).alias("residual"))
 
 
-def _shares() -> dict[str, Column]:
-    total = F.greatest(F.col("c_function") + F.col("c_word") + F.col("c_link") + F.col("c_digits"), F.lit(1))
-    return {f"s_{n}": F.col(f"c_{n}") / total for n in ("function", "word", "link", "digits")}
+def _is_prose() -> Column:
+    return F.col("prose") > F.col("keyword") + F.col("link") + F.col("other")
+
+
+def divergences(pages: DataFrame, key: str) -> DataFrame:
+    """Jensen-Shannon divergence (0 to 1) of each page's words from those of prose of its language and octave of length.
+
+    The reference is the mean distribution over different texts, cut to its ``VOCABULARY`` most frequent words, so it is
+    bounded by languages, octaves and that number whatever the corpus; a word that it does not name shares nothing.
+    """
+    octave = F.floor(F.log2(F.greatest("counted", F.lit(1)))).cast("int")
+    pages = pages.select(key, "digest", "ja", octave.alias("octave"), F.greatest("counted", F.lit(1)).alias("counted"), "words", _is_prose().alias("_prose"))
+    texts = pages.filter("_prose").groupBy("digest").agg(F.min(key).alias(key))  # copies of a text count once
+    words = pages.filter("_prose").join(texts.select(key), key).select("ja", "octave", "counted", F.explode("words").alias("e"))
+    sums = words.groupBy("ja", "octave", F.col("e.w").alias("w")).agg(F.sum(F.col("e.n") / F.col("counted")).alias("s"))
+    texts_of = pages.filter("_prose").select("ja", "octave", "digest").distinct().groupBy("ja", "octave").agg(F.count(F.lit(1)).alias("texts"))
+    sums = materialize(sums, "p10-words")
+    every = sums.groupBy("ja", "w").agg(F.sum("s").alias("s")).withColumn("octave", F.lit(-1))
+    sums = sums.unionByName(every)
+    of_language = texts_of.groupBy("ja").agg(F.sum("texts").alias("texts")).withColumn("octave", F.lit(-1))
+    own = texts_of.filter(F.col("texts") >= LEAST_PAGES)
+    sizes = own.unionByName(of_language)  # two languages, some twenty octaves
+    top = F.row_number().over(Window.partitionBy("ja", "octave").orderBy(F.desc("s"), "w"))
+    reference = sums.withColumn("_at", top).filter(F.col("_at") <= VOCABULARY).join(F.broadcast(sizes), ["ja", "octave"]).select("ja", F.col("octave").alias("_ref"), "w", (F.col("s") / F.col("texts")).alias("q"))
+    reference = materialize(reference, "p10-reference")
+    named = reference.groupBy("ja", "_ref").agg(F.sum("q").alias("_named"))
+    chosen = own.select("ja", "octave", F.col("octave").alias("_own"))
+    each = pages.join(F.broadcast(chosen), ["ja", "octave"], "left").select(key, "ja", F.coalesce("_own", F.lit(-1)).alias("_ref"), "counted", F.explode("words").alias("e"))
+    met = each.select(key, "ja", "_ref", F.col("e.w").alias("w"), (F.col("e.n") / F.col("counted")).alias("p")).join(F.broadcast(reference), ["ja", "_ref", "w"])
+    p, q = F.col("p"), F.col("q")
+    shared = met.groupBy(key).agg(F.sum(p * F.log2(2 * p / (p + q)) + q * F.log2(2 * q / (p + q)) - p - q).alias("_shared"))
+    refs = pages.join(F.broadcast(chosen), ["ja", "octave"], "left").select(key, "ja", F.coalesce("_own", F.lit(-1)).alias("_ref"))
+    # what only one side has counts a full bit; the reference's unnamed rest is left out of it
+    out = refs.join(shared, key, "left").join(F.broadcast(named), ["ja", "_ref"], "left")
+    return out.select(key, ((1 + F.coalesce("_named", F.lit(1.0)) + F.coalesce("_shared", F.lit(0.0))) / (1 + F.coalesce("_named", F.lit(1.0)))).alias("divergence"))
 
 
 def judge_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Every non-empty page with its measures, ``candidate`` and ``case``."""
-    pages = materialize(read_pages(docs, key, text), "p10-pages")  # a few numbers a page; read twice below
-    measured = pages.drop("spectrum").join(curves(pages, key), key, "left").fillna(0.0, ["slope", "residual"])
+    """Every non-empty page with its measures, ``flagged`` by them, and ``case``."""
+    pages = materialize(read_pages(docs, key, text), "p10-pages")  # numbers and counts; read several times below
+    measured = pages.drop("spectrum", "words").join(curves(pages, key), key, "left").fillna(0.0, ["slope", "residual"]).join(divergences(pages, key), key, "left")
     tokens = F.greatest("tokens", F.lit(1))
     band = F.floor(F.log2(tokens) * 2).cast("int")
-    measured = measured.withColumns({"band": band, "variety": F.log(F.greatest("types", F.lit(1)) / F.greatest("tokens", F.lit(1))), **_shares()})
-    names = ["slope", "residual", "variety"]
-    prose = measured.filter("prose > keyword + link + other").dropDuplicates(["digest"])  # copies of a text count once
+    measured = measured.withColumns({"band": band, "variety": F.log(F.greatest("types", F.lit(1)) / F.greatest("tokens", F.lit(1)))})
+    measured = materialize(measured, "p10-measured")
+    names = ["slope", "residual", "variety", "divergence"]
+    prose = measured.filter(_is_prose()).dropDuplicates(["digest"])  # copies of a text count once
     middle = prose.groupBy("ja", "band").agg(
-        *(F.percentile_approx(n, [0.16, 0.5, 0.84], 500).alias(f"q_{n}") for n in names), *(F.avg(s).alias(f"m_{s}") for s in _shares()),
-        F.percentile_approx("types", 0.5, 500).alias("m_types"), F.count(F.lit(1)).alias("n"),
+        *(F.percentile_approx(n, [0.16, 0.5, 0.84], 500).alias(f"q_{n}") for n in names), F.percentile_approx("types", 0.5, 500).alias("m_types"), F.count(F.lit(1)).alias("n")
     ).filter(F.col("n") >= LEAST_PAGES).drop("n")
-    whole = prose.groupBy("ja").agg(
-        *(F.percentile_approx(n, [0.16, 0.5, 0.84], 500).alias(f"w_{n}") for n in names), *(F.avg(s).alias(f"v_{s}") for s in _shares())
-    )
+    whole = prose.groupBy("ja").agg(*(F.percentile_approx(n, [0.16, 0.5, 0.84], 500).alias(f"w_{n}") for n in names))
     # longer prose has no fewer words than shorter prose, and no greater share of different ones: bounds from other bands
     other = middle.select("ja", F.col("band").alias("_band"), F.log("m_types").alias("_types"), F.col("q_variety")[1].alias("_variety"))
-    bounds = pages.select("ja", band.alias("band")).distinct().join(F.broadcast(other), "ja").groupBy("ja", "band").agg(
+    bounds = measured.select("ja", "band").distinct().join(F.broadcast(other), "ja").groupBy("ja", "band").agg(
         F.max(F.when(F.col("_band") < F.col("band"), F.col("_types"))).alias("b_types"), F.max(F.when(F.col("_band") > F.col("band"), F.col("_variety"))).alias("b_variety")
     )
     middle = middle.join(bounds, ["ja", "band"], "right")
     # at most two languages and some fifty bands of length: bounded whatever the corpus
     joined = measured.join(F.broadcast(middle), ["ja", "band"], "left").join(F.broadcast(whole), "ja", "left")
-    extreme = F.lit(False)
-    for n in names:
+
+    def away(n: str) -> Column:
         q = F.coalesce(f"q_{n}", f"w_{n}", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-        spread = F.greatest((q[2] - q[0]) / 2, F.lit(0.02))
-        extreme = extreme | (F.abs(F.col(n) - q[1]) > EXTREME * spread)
-    distance = sum(F.abs(F.col(s) - F.coalesce(f"m_{s}", f"v_{s}", F.lit(0.0))) for s in _shares()) / 2
+        return (F.col(n) - q[1]) / F.greatest((q[2] - q[0]) / 2, F.lit(0.02))
+
+    joined = joined.withColumns({f"z_{n}": away(n) for n in ("slope", "residual", "divergence")})
     # a band speaks for itself unless it is thin or its prose has fewer words than that of shorter bands
     least = F.least(tokens, F.lit(LEAST_TYPES))
     trusted = F.log("m_types") >= F.greatest("b_types", F.log(least * FEW_WORDS))
     usual = F.when(trusted, F.col("q_variety")[1]).otherwise(F.greatest(F.col("b_types") - F.log(tokens), "b_variety", F.log(least / tokens)))
     few = (F.col("variety") - usual < math.log(FEW_WORDS)) & (F.col("tokens") >= 20)
-    # a page without prose of its length to compare with is a candidate as well
-    joined = joined.withColumn("divergence", distance).withColumn("candidate", extreme | (F.col("divergence") > DIVERGENT) | few | F.col("m_types").isNull())
+    flagged = (F.col("z_divergence") > DIVERGENT) | (F.abs("z_slope") > EXTREME) | (F.abs("z_residual") > EXTREME) | few
     bare = F.col("prose") == 0  # without a sentence, a link or two with their words are a list as well
     link = F.when((F.col("links") >= LEAST_LINKS) | bare, F.col("link")).otherwise(0)
     bad = F.col("keyword") + link
     enough = (F.col("keywords") >= LEAST_WORDS) | (F.col("links") >= LEAST_LINKS) | (bare & (F.col("links") >= 2) & (F.col("keywords") >= 4))
-    most = (bad >= MOST * (bad + F.col("prose") + F.col("other"))) & enough
-    stuffed = few & (F.col("other") < 0.4 * (F.col("prose") + bad + F.col("other")))
-    return joined.withColumn("case", F.col("candidate") & (most | stuffed)).withColumn("structural", most | stuffed)
-
+    some = (bad >= SOME * (bad + F.col("prose") + F.col("other"))) & enough
+    data = F.col("other") >= 0.4 * (F.col("prose") + bad + F.col("other"))
+    return joined.withColumns({"few": few, "flagged": flagged, "left": (some | few) & ~data, "share": bad / F.greatest(bad + F.col("prose") + F.col("other"), F.lit(1))}).withColumn("case", F.col("flagged") & F.col("left"))
