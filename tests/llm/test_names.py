@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm.names import Names, alike, classes, linked, mailbox, records, same_names, similarity, transcribed
-from tidemill.llm.addresses import pairs_of
+from tidemill.llm.links import classes, pairs_of
+from tidemill.llm.names import Names, alike, linked, mailbox, records, same_names, similarity, transcribed
 
 READINGS = [("surname", "高橋", "タカハシ", "Takahashi"), ("surname", "山田", "ヤマダ", "Yamada"), ("given", "健一", "ケンイチ", "Kenichi"), ("given", "智子", "トモコ", "Tomoko"), ("given", "翔", "ショウ", "Sho")]
 

@@ -23,8 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize
+from ..session import materialize
 from .addresses import VARIANTS, distance
+from .links import classes
 
 # Placeholders, titles, legal forms, and the words of lines of business in both languages.
 NOBODY = frozenset("test testuser user テスト テストユーザー 名無し ななし 名前なし 不明 匿名 同上 なし 未入力 未登録 unknown none null na anonymous noname dummy guest xxx sample".split())
@@ -288,26 +289,6 @@ def candidates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return a.join(b, "key").filter("a < b").select("a", "b").distinct()
 
 
-def classes(links: DataFrame, a: str, b: str) -> DataFrame:
-    """``member`` and ``class`` (its smallest member) of every linked id, by propagating the smallest id until it stays."""
-    there, back = F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y"))
-    both = materialize(links.select(F.explode(F.array(there, back)).alias("e")).select("e.*").distinct(), "links")
-    label = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("class")).withColumnRenamed("x", "member"), "classes")
-    before = None
-    while True:
-        offered = both.join(label.withColumnRenamed("member", "y"), "y").groupBy("x").agg(F.min("class").alias("_near"))
-        # a member also takes the class of its class's own member, which halves long chains
-        joined = label.join(offered.withColumnRenamed("x", "member"), "member").withColumn("_next", F.least("class", "_near"))
-        jump = label.select(F.col("member").alias("_next"), F.col("class").alias("_far"))
-        fresh = joined.join(jump, "_next", "left").select("member", F.least("_next", "_far").alias("class"), (F.least("_next", "_far") < F.col("class")).alias("moved"))
-        fresh = materialize(fresh, "classes")
-        if before is not None:
-            discard(before)  # the last but one; nothing reads it any more
-        before, label = fresh, fresh.drop("moved")
-        if fresh.filter("moved").isEmpty():
-            return label
-
-
 def same_names(users: DataFrame, readings: DataFrame, places: DataFrame) -> DataFrame:
     """``member`` (user_id) and ``class`` of all users that share a person or organisation with another.
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans import Registry
 from ..session import materialize
 from ..sources import table
-from .addresses import locations, pairs_of
+from .addresses import locations
 from .bpe import count_tokens, encode_corpus
+from .links import pairs_of
 from .names import same_names
 from .packing import pack
 from .spam import judge_pages
@@ -41,6 +43,23 @@ def _places(spark: SparkSession, folder: str) -> DataFrame:
     return locations(table(spark, folder, "users"), table(spark, folder, "taxonomy_jp_hierarchy"), table(spark, folder, "reading_ref"))
 
 
+@query("p5_locations")
+def p5_locations(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per user and location that others share, with the number of users there."""
+    return _sized(_places(spark, folder), "location")
+
+
+def _sized(members: DataFrame, group: str) -> DataFrame:
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return members.join(sizes, group)
+
+
+@query("p3_classes")
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per user that shares a person or organisation with others, with its class and the class's number of users."""
+    return _sized(same_names(table(spark, folder, "users"), table(spark, folder, "reading_ref"), _places(spark, folder)), "class")
+
+
 @query("p3_found")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     found = same_names(table(spark, folder, "users"), table(spark, folder, "reading_ref"), _places(spark, folder))
