@@ -126,3 +126,76 @@ def test_candidates_hold_all_links_of_a_hot_date_and_of_a_house(spark):
         got = [tuple(r) for r in candidates(df).collect()]
         assert (1000, 1001) in want and want <= set(got) and len(got) == len(set(got))
         assert {tuple(r) for r in candidates(df, block=7).collect()} == set(got)
+
+
+def crowd(n, seed, kind):
+    """Names around one evidence: some of one person in different spellings, most of others."""
+    import math
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("kstnhmrywgzdb") + rng.choice("aiueo") for _ in range(rng.randint(2, 5)))
+    stock = [word() for _ in range(max(12, n // 8))]
+    people = []
+    for i in range(n):
+        if people and rng.random() < 0.3:
+            t = list(rng.choice(people))
+            for k, x in enumerate(t):
+                at = rng.randrange(len(x))
+                t[k] = rng.choice([x, x, x[:1], x[:3], x[:at] + x[at + 1 :] or x, x[:at] + "q" + x[at:], x[: at - 1] + x[at : at + 1] + x[at - 1 : at] + x[at + 1 :] if at else x, x[0] + "".join(c for c in x[1:] if c not in "aiueo")])
+            t = rng.choice([t, t, t[::-1], ["".join(t)]])
+        else:
+            t = [rng.choice(stock), rng.choice(stock)]
+        people.append(t)
+    df = {}
+    for t in people:
+        for x in set(t):
+            df[x] = df.get(x, 0) + 1
+    column = {"birth": "birth", "place": "location", "domain": "domain"}[kind]
+    return {i: person(tokens=t, weights={x: math.log(1 + n / df[x]) for x in t}, organisation=kind == "domain", **{column: "e"}) for i, t in enumerate(people)}
+
+
+def sets_of(pairs, ids):
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    out = {}
+    for i in ids:
+        out.setdefault(root(i), set()).add(i)
+    return {frozenset(g) for g in out.values() if len(g) > 1}
+
+
+PAYLOAD = "rep bigint, p struct<tokens:array<string>,weights:map<string,double>,organisation:boolean,box:string,domain:string,birth:string,location:string>"
+
+
+@pytest.mark.parametrize("kind", ["birth", "place", "domain"])
+def test_signatures_find_what_brute_force_links(spark, kind):
+    from tidemill.llm.names import hot_links, links_of
+
+    people = crowd(260, 11, kind)
+    want = sets_of([(a, b) for a, b in itertools.combinations(people, 2) if linked(people[a], people[b])], people)
+    payload = spark.createDataFrame([(i, tuple(p[f] for f in ("tokens", "weights", "organisation", "box", "domain", "birth", "location"))) for i, p in people.items()], PAYLOAD)
+    rows = spark.createDataFrame([(i, " ".join(p["tokens"]), p["tokens"], kind, f"{kind} e") for i, p in people.items()], "rep bigint, name string, tokens array<string>, kind string, evidence string")
+    assert len(want) > (1 if kind == "domain" else 3)
+    for block in (1000, 20):
+        assert sets_of([tuple(r) for r in hot_links(rows.select("rep", "kind", "evidence"), payload, block).collect()], people) == want
+    for hot in (0, 10**9):
+        assert sets_of([tuple(r) for r in links_of(rows, payload, hot).collect()], people) == want
+
+
+def test_a_large_group_of_one_firm_is_linked_without_all_its_pairs(spark):
+    """Names of one domain that all belong together, and others among them that do not."""
+    from tidemill.llm.names import hot_links
+
+    n = 1500
+    people = {i: person(tokens=["takahasi", f"w{'bcdfg'[i % 5]}{i:04d}".translate(str.maketrans("0123456789", "abcdefghij"))], weights={"takahasi": 5.0}, organisation=True, domain="d") for i in range(n)}
+    people |= {n + i: person(tokens=[f"{'xyz'[i]}u{'vwj'[i] * 4}o"], weights={}, organisation=True, domain="d") for i in range(3)}
+    payload = spark.createDataFrame([(i, (p["tokens"], p["weights"], True, None, "d", None, None)) for i, p in people.items()], PAYLOAD)
+    rows = spark.createDataFrame([(i, "domain", "domain d") for i in people], "rep bigint, kind string, evidence string")
+    assert sets_of([tuple(r) for r in hot_links(rows, payload, 200).collect()], people) == {frozenset(range(n))}

@@ -4,7 +4,10 @@
    transcribed, titles, legal forms, departments and marks are taken off, short names are replaced by what they stand for.
 2. Names alone do not tell namesakes apart, so records are compared only where another column speaks for them (the same
    mailbox or company domain, the same date of birth, the same house number).  Within such evidence, candidates come from a
-   join on the q-grams of the tokens: all pairs that have one in common, at every size of the group.
+   join on the q-grams of the tokens; one gram is the least that verified names share.  Where very many names share one
+   evidence, a gram says too little, and they are joined on signatures that only tokens which are alike have in common, of
+   the tokens that weigh so much that no accepted pair can do without all of them (a prefix filter by weight).  Both ways
+   bring together all pairs that verification accepts, so the size of a group divides work and changes no result.
 3. Candidates are verified by soft weighted token similarity: tokens pair up by edit distance, initials and contractions,
    and a token weighs more the rarer it is.  Evidence against (two mailboxes, two dates of birth) rules a pair out.
 4. Links are closed to classes by propagating the smallest id.
@@ -234,12 +237,20 @@ _RECORD = "user_id bigint, name string, tokens array<string>, organisation boole
 SURE = {"box": 0.2, "domain": 0.2, "birth": 0.66, "place": 0.68}
 #: Holders of one evidence and gram that one task compares with as many others; only work is divided by it.
 BLOCK = 1000
+#: Holders of one evidence from which on they are joined on signatures instead of grams; both find the same pairs.
+HOT = 300
+
+
+#: Most entries the table of readings may have; it is held by every worker.
+MOST_READINGS = 500_000
 
 
 def records(users: DataFrame, readings: DataFrame) -> DataFrame:
     """One row per distinct record with a name: tokens and what else speaks for the person."""
-    listed = [tuple(r) for r in readings.filter("kind in ('surname', 'given')").select("kind", "written", "kana", "romaji").limit(1_000_000).collect() if r[1]]
-    shared = users.sparkSession.sparkContext.broadcast(listed)  # the table of readings, of fixed size
+    rows = readings.filter("kind in ('surname', 'given')").select("kind", "written", "kana", "romaji").limit(MOST_READINGS + 1).collect()
+    if len(rows) > MOST_READINGS:
+        raise ValueError(f"the table of readings has more than {MOST_READINGS} entries")
+    shared = users.sparkSession.sparkContext.broadcast([tuple(r) for r in rows if r[1]])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = Names(shared.value)
@@ -289,6 +300,126 @@ def candidates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return a.join(b, "key").filter("a < b").select("a", "b").distinct()
 
 
+def deletions(text: str, most: int) -> set[str]:
+    """The text and what is left of it without up to ``most`` letters; texts at that distance have one of these in common."""
+    out = last = {text}
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        out = out | last
+    return out
+
+
+def signatures(tokens: list[str], weights: dict[str, float], least: float) -> Iterator[tuple[str, str, bool]]:
+    """(signature, token behind it, whether it asks) of a name; two names for which ``similarity`` is at least ``least`` have
+    one in common of which at least one side asks.
+
+    Tokens ask if they are in the prefix by weight: the heaviest ones, until the rest weighs less than ``least`` of all.
+    Equal tokens share T, those at some edits a D, a beginning and its word a P or Q, a contraction and its word a C, and
+    names that are near when written together a J.
+    """
+    total, rest, asks = sum(weights.get(t, 0.0) for t in tokens), 0.0, set(tokens)
+    for t in sorted(set(tokens), key=lambda t: (weights.get(t, 0.0), t)):
+        rest += weights.get(t, 0.0) * tokens.count(t)
+        if rest >= least * total:
+            break
+        if len(t) > 1:  # what an initial stands for may weigh more than it does
+            asks.discard(t)
+    for t in set(tokens):
+        ask = t in asks
+        yield "T" + t, t, ask
+        for v in deletions(t, 1 if len(t) <= 5 else 2 if len(t) <= 9 else 3):
+            yield "D" + v, t, ask
+        for i in range(1, min(4, len(t)) + 1):
+            yield f"P{t[:i]}", t, ask and i == len(t)
+            if i < len(t) and ask:
+                yield f"p{t[:i]}", t, True
+            if i == len(t):
+                yield f"p{t}", t, False
+        if len(t) == 1 and t in _INITIALS:
+            yield f"P{_INITIALS[t]}", t, True
+            yield f"p{_INITIALS[t]}", t, False
+        if len(t) >= 4:
+            yield f"Q{t[:4]}", t, ask
+        short = len(t) >= 3 and not set(_VOWELS) & set(t[1:])
+        yield f"C{t[0]}", t, ask and short
+        if ask:
+            yield f"c{t[0]}", t, True
+        if short:
+            yield f"c{t[0]}", t, False
+    for whole in {"".join(tokens), "".join(reversed(tokens))}:
+        if len(whole) <= 10:
+            for v in deletions(whole, 1):
+                yield "J" + v, "", True
+        if len(whole) >= 9:
+            for v in deletions(whole[:5], 1):
+                yield "J^" + v, "", True
+            for v in deletions(whole[-5:], 1):
+                yield "J$" + v, "", True
+
+
+def hot_links(rows: DataFrame, payload: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between holders of evidence that very many share.  ``rows``: rep, kind, evidence; ``payload``: rep, p.
+
+    Holders of one evidence and signature are compared in blocks, each pair of blocks in a task of its own; a task leaves
+    out pairs that its links have already brought together, so a group that belongs together costs little more than its size.
+    """
+    held = rows.join(payload, "rep")
+
+    def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for rep, kind, evidence, p in zip(part["rep"], part["kind"], part["evidence"], part["p"]):
+                for signature, token, ask in signatures(list(p["tokens"]), dict(p["weights"]), SURE[kind]):
+                    out.append((rep, f"{evidence} {signature}", token, ask))
+            yield pd.DataFrame(out, columns=["rep", "key", "token", "ask"])
+
+    each = held.mapInPandas(sign, "rep bigint, key string, token string, ask boolean").groupBy("rep", "key", "token").agg(F.max("ask").alias("ask"))
+    each = materialize(each, "p3-signatures")
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("_any")).filter("n > 1 and _any")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    split = each.join(counts, "key").withColumn("_own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    # every holder goes to the pairs of its block with all blocks; (x, y) and (y, x) are one task
+    split = split.withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    split = split.select("rep", "token", "ask", "key", F.least("_own", "_with").alias("_x"), F.greatest("_own", "_with").alias("_y"))
+    split = split.join(payload, "rep")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        plain = group["key"].iloc[0].split(" ")[-1][0]
+        reps, tokens, asks, people = group["rep"].tolist(), group["token"].tolist(), group["ask"].tolist(), group["p"].tolist()
+        root = list(range(len(reps)))
+        known: dict[tuple[str, str], bool] = {}
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        def near(x: str, y: str) -> bool:
+            if plain in "TJ":
+                return True  # the same token, or names as a whole
+            if x == y:
+                return False  # compared where equal tokens meet
+            pair = (x, y) if x < y else (y, x)
+            if pair not in known:
+                known[pair] = alike(*pair) >= 0.6
+            return known[pair]
+
+        for i in range(len(reps)):
+            if not asks[i]:
+                continue
+            for j in range(len(reps)):
+                if (j < i and asks[j]) or reps[i] == reps[j] or not near(tokens[i], tokens[j]):
+                    continue
+                x, y = top(i), top(j)
+                if x != y and linked(people[i], people[j]):
+                    root[max(x, y)] = min(x, y)
+        links = [(reps[i], reps[top(i)]) for i in range(len(reps)) if top(i) != i]
+        return pd.DataFrame([x for x in links if x[0] != x[1]], columns=["a", "b"])
+
+    return split.groupBy("key", "_x", "_y").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
 def same_names(users: DataFrame, readings: DataFrame, places: DataFrame) -> DataFrame:
     """``member`` (user_id) and ``class`` of all users that share a person or organisation with another.
 
@@ -305,7 +436,6 @@ def same_names(users: DataFrame, readings: DataFrame, places: DataFrame) -> Data
     kinds = [("box", "box"), ("domain", "domain"), ("birth", "birth"), ("place", "location")]
     evidence = F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("kind"), F.concat(F.lit(k + " "), F.col(c)).alias("evidence"))) for k, c in kinds)), lambda x: x.isNotNull())
     rows = reps.select("rep", "name", "tokens", F.explode(evidence).alias("e")).select("rep", "name", "tokens", "e.kind", "e.evidence")
-    pairs = candidates(rows)
     weights = reps.select("rep", F.explode("tokens").alias("token")).distinct()
     total = reps.select("rep").distinct().agg(F.count(F.lit(1)).alias("n"))
     common = weights.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total), F.lit(True))  # one row
@@ -313,10 +443,21 @@ def same_names(users: DataFrame, readings: DataFrame, places: DataFrame) -> Data
     weighted = reps.select(*identity, "rep", "tokens", F.explode("tokens").alias("token")).join(common, "token")
     full = weighted.groupBy(*identity, "rep").agg(F.first("tokens").alias("tokens"), F.map_from_entries(F.collect_set(F.struct("token", "w"))).alias("weights"))
     payload = materialize(full.select("rep", F.struct("tokens", "weights", "organisation", "box", "domain", "birth", "location").alias("p")), "p3-payload")
+    links = links_of(rows, payload)
+    return classes(copies.unionByName(links), "a", "b")
+
+
+def links_of(rows: DataFrame, payload: DataFrame, hot: int = HOT) -> DataFrame:
+    """All links (a, b) that verification accepts, or so many of them that the same names are linked in the end."""
+    rows = materialize(rows, "p3-rows")
+    frequent = rows.groupBy("evidence").agg(F.count(F.lit(1)).alias("_holders")).filter(F.col("_holders") > hot).select("evidence")
+    pairs = candidates(rows.join(frequent, "evidence", "left_anti"))
     left, right = (payload.select(F.col("rep").alias(s), F.col("p").alias(f"p{s}")) for s in "ab")
     judged = pairs.join(left, "a").join(right, "b")
+    for against in ("box", "domain", "birth"):  # what rules a pair out is seen without Python
+        judged = judged.filter(F.coalesce(F.col(f"pa.{against}") == F.col(f"pb.{against}"), F.lit(True)))
     links = judged.mapInPandas(_verify, "a bigint, b bigint").distinct()
-    return classes(copies.unionByName(links), "a", "b")
+    return links.unionByName(hot_links(rows.join(frequent, "evidence").select("rep", "kind", "evidence"), payload))
 
 
 def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
