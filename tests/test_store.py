@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.session import scratch
-from tidemill.sources.store import TableStore, branch_name
+from tidemill.sources import store as module
+from tidemill.sources.store import Conflict, TableStore, branch_name
 
 
 @pytest.fixture
@@ -20,6 +21,7 @@ def test_names_of_tables():
     assert branch_name("c.n.t", "BRANCH", "dev") == "c.n.t.branch_dev"
     assert branch_name("c.n.t", "ZERO_COPY", "dev") == "dev_c.n_dev.t.branch_dev"
     assert branch_name("n.t", "ZERO_COPY", "dev") == "n.t" and branch_name("c.n.t", "BRANCH", "main") == "c.n.t"
+    assert branch_name("c.n.t", "ZERO_COPY", "main") == "dev_c.n_main.t.branch_main" and branch_name("c.n.t.x", "ZERO_COPY", "dev") == "dev_c.n_dev.t.x.branch_dev"
     assert branch_name("c.n.t", None, "dev") == "c.n.t" and branch_name("c.n.t", "BRANCH", None) == "c.n.t"
 
 
@@ -91,3 +93,40 @@ def test_merge_rewrites_only_touched_partitions(spark, store):
     assert len(set(store.pointer("t")["paths"]) & after) == len(after) - 1 and store.read("t").filter("v = 'D'").count() == 1
     with pytest.raises(ValueError):
         store.merge_update(spark.createDataFrame([(4,)], "k int"), "t", ["k"], {"d": F.lit(None)})
+
+
+def test_readers_between_the_steps_of_a_write_see_the_old_state(spark, store, monkeypatch):
+    store.create(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, p string"), "t", ["p"])
+    seen, whole = [], TableStore._point
+
+    def watched(self, *args):
+        seen.append(rows(self.read("t")))
+        whole(self, *args)
+        seen.append(rows(self.read("t")))
+
+    monkeypatch.setattr(TableStore, "_point", watched)
+    store.overwrite_partitions(spark.createDataFrame([(9, "b")], "k int, p string"), "t")
+    assert seen == [[(1, "a"), (2, "b"), (3, "c")], [(1, "a"), (3, "c"), (9, "b")]]  # one move of the pointer
+
+
+def test_of_two_writers_one_must_begin_anew(spark, store, monkeypatch):
+    store.create(spark.range(1).toDF("k"), "t")
+    whole = TableStore._data
+
+    def interrupted(self, *args):
+        monkeypatch.setattr(TableStore, "_data", whole)
+        store.append(spark.range(5, 6).toDF("k"), "t")  # another writer is faster
+        return whole(self, *args)
+
+    monkeypatch.setattr(TableStore, "_data", interrupted)
+    with pytest.raises(Conflict):
+        store.append(spark.range(7, 8).toDF("k"), "t")
+    store.append(spark.range(7, 8).toDF("k"), "t")
+    assert rows(store.read("t")) == [(0,), (5,), (7,)]
+
+
+def test_old_versions_of_a_pointer_are_dropped(spark, store, monkeypatch):
+    monkeypatch.setattr(module, "KEPT_VERSIONS", 2)
+    for n in range(4):
+        store.create(spark.range(n).toDF("k"), "t")
+    assert len(store._versions("t", "main")) == 2 and store.read("t").count() == 3

@@ -1,8 +1,9 @@
 """Tables as immutable snapshots with a pointer per branch, for a catalog that has no row-level statements.
 
-``<root>/<table>/data/<snapshot>/`` holds Parquet, ``<root>/<table>/refs/<branch>.json`` names the snapshot a branch shows.
-A write makes a snapshot and then moves the pointer by a rename, so a job can read the table it writes and readers never
-see half a write.  A partitioned snapshot lists its partitions by path, and those that a write leaves alone are carried
+``<root>/<table>/data/<snapshot>/`` holds Parquet, ``<root>/<table>/refs/<branch>/<version>.json`` names the snapshot a
+branch shows; the greatest version counts.  A write makes a snapshot and then moves the pointer once, by renaming a file to
+the next version, so a job can read the table it writes and readers see the old state or the new one.  A rename to a version
+that exists fails: of two writers that began from the same state one gets ``Conflict`` and must begin anew.  A partitioned snapshot lists its partitions by path, and those that a write leaves alone are carried
 over by reference, so overwriting a few partitions rewrites nothing else.
 """
 
@@ -13,11 +14,18 @@ import time
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MAIN = "main"
+#: Versions of a pointer that are kept for readers that are about to open them.
+KEPT_VERSIONS = 10
+
+
+class Conflict(RuntimeError):
+    """Another writer moved the pointer meanwhile."""
 
 
 def branch_name(table: str, mode: str | None, env: str | None) -> str:
@@ -25,12 +33,12 @@ def branch_name(table: str, mode: str | None, env: str | None) -> str:
 
     Unknown modes and missing arguments give the plain name, as does a clone of a name without three parts.
     """
-    if not env or env == MAIN:
+    if not env:
         return table
     if mode == "BRANCH":
-        return f"{table}.branch_{env}"
-    if mode == "ZERO_COPY":
-        parts = table.split(".")
+        return table if env == MAIN else f"{table}.branch_{env}"
+    if mode == "ZERO_COPY":  # in every environment, so that such a run never writes a table of production
+        parts = table.split(".", 2)
         return f"dev_{parts[0]}.{parts[1]}_{env}.{parts[2]}.branch_{env}" if len(parts) == 3 else table
     return table
 
@@ -45,16 +53,31 @@ class TableStore:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def _put(self, name: str, text: str) -> None:
-        """Write a small file beside its place and rename it there; a rename is atomic."""
-        fresh, place = self._path(f"{name}.{uuid.uuid4().hex}.next"), self._path(name)
+    def _point(self, table: str, branch: str, state: dict, seen: dict | None) -> None:
+        """Move a pointer from the state ``seen`` (None: there is none) by an atomic rename to the next version."""
+        version = (seen["version"] if seen else 0) + 1
+        folder = f"{table}/refs/{branch}"
+        fresh, place = self._path(f"{folder}/{uuid.uuid4().hex}.next"), self._path(f"{folder}/{version:012d}.json")
         out = self._fs.create(fresh, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(json.dumps(state | {"version": version}).encode()))
         out.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(fresh).toUri(), self._conf)
         options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(self._fs.makeQualified(fresh), self._fs.makeQualified(place), options)
+        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(self._fs.makeQualified(fresh), self._fs.makeQualified(place), options)
+        except Py4JJavaError as error:
+            self._fs.delete(fresh, False)
+            if "FileAlreadyExists" in str(error.java_exception):
+                raise Conflict(f"{table} changed on branch {branch}") from error
+            raise
+        if version > KEPT_VERSIONS:
+            self._fs.delete(self._path(f"{folder}/{version - KEPT_VERSIONS:012d}.json"), False)
+
+    def _versions(self, table: str, branch: str) -> list[str]:
+        folder = self._path(f"{table}/refs/{branch}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(n for n in names if n.endswith(".json"))
 
     def _get(self, name: str) -> str | None:
         path = self._path(name)
@@ -69,15 +92,19 @@ class TableStore:
     # reading
 
     def pointer(self, table: str, branch: str = MAIN) -> dict | None:
-        text = self._get(f"{table}/refs/{branch}.json")
-        return json.loads(text) if text else None
+        versions = self._versions(table, branch)
+        return json.loads(self._get(f"{table}/refs/{branch}/{versions[-1]}")) if versions else None
 
     def read(self, table: str, branch: str = MAIN) -> DataFrame:
         """The table as a branch shows it; a branch that never wrote shows what it was made from."""
+        state = self._state(table, branch)
+        return self._read_paths(table, state, state["paths"])
+
+    def _state(self, table: str, branch: str) -> dict:
         state = self.pointer(table, branch)
         if state is None:
             raise ValueError(f"table {table} has no branch {branch}")
-        return self._read_paths(table, state, state["paths"])
+        return state
 
     def _read_paths(self, table: str, state: dict, chosen: list[str]) -> DataFrame:
         schema = StructType.fromJson(json.loads(state["schema"]))
@@ -92,7 +119,8 @@ class TableStore:
 
     # writing
 
-    def _write(self, df: DataFrame, table: str, branch: str, partition_by: list[str], keep: list[str] | None = None) -> None:
+    def _data(self, df: DataFrame, table: str, partition_by: list[str]) -> list[str]:
+        """Write a snapshot that no pointer shows yet; its paths."""
         snapshot = uuid.uuid4().hex
         target = f"{self.root}/{table}/data/{snapshot}"
         if partition_by:
@@ -100,9 +128,11 @@ class TableStore:
             df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(target)
         else:
             df.write.parquet(target)
-        written = [f"{snapshot}/{p}" for p in self._partitions(f"{table}/data/{snapshot}", len(partition_by))] if partition_by else [snapshot]
-        state = {"schema": df.schema.json(), "partition_by": partition_by, "paths": [*(keep or []), *written], "at": time.time()}
-        self._put(f"{table}/refs/{branch}.json", json.dumps(state))
+        return [f"{snapshot}/{p}" for p in self._partitions(f"{table}/data/{snapshot}", len(partition_by))] if partition_by else [snapshot]
+
+    def _write(self, df: DataFrame, table: str, branch: str, partition_by: list[str], seen: dict | None, keep: list[str] | None = None) -> None:
+        written = self._data(df, table, partition_by)
+        self._point(table, branch, {"schema": df.schema.json(), "partition_by": partition_by, "paths": [*(keep or []), *written], "at": time.time()}, seen)
 
     def _partitions(self, folder: str, depth: int) -> list[str]:
         found = [""]
@@ -117,7 +147,7 @@ class TableStore:
 
     def create(self, df: DataFrame, table: str, partition_by: list[str] | None = None, branch: str = MAIN) -> None:
         """Replace the whole table."""
-        self._write(df, table, branch, partition_by or [])
+        self._write(df, table, branch, partition_by or [], self.pointer(table, branch))
 
     def overwrite_partitions(self, df: DataFrame, table: str, branch: str = MAIN, require: str | None = None) -> None:
         """Replace the partitions that occur in ``df`` and no others; an unpartitioned table is replaced whole."""
@@ -126,31 +156,28 @@ class TableStore:
         state = self.pointer(table, branch)
         by = state["partition_by"] if state else []
         if not state or not by:
-            return self._write(df, table, branch, by)
-        before = set(state["paths"])
-        self._write(df, table, branch, by)
-        fresh = self.pointer(table, branch)
-        replaced = {p.split("/", 1)[1] for p in fresh["paths"]}
-        kept = [p for p in before if p.split("/", 1)[1] not in replaced]
-        self._put(f"{table}/refs/{branch}.json", json.dumps(fresh | {"paths": sorted(kept) + fresh["paths"]}))
+            return self._write(df, table, branch, by, state)
+        written = self._data(df, table, by)
+        replaced = {p.split("/", 1)[1] for p in written}
+        kept = sorted(p for p in state["paths"] if p.split("/", 1)[1] not in replaced)
+        self._point(table, branch, {"schema": df.schema.json(), "partition_by": by, "paths": kept + written, "at": time.time()}, state)
 
     def append(self, df: DataFrame, table: str, branch: str = MAIN) -> None:
         """Add rows; new columns widen the schema and are null in older rows."""
         state = self.pointer(table, branch)
         if state is None:
-            return self._write(df, table, branch, [])
+            return self._write(df, table, branch, [], None)
         old = StructType.fromJson(json.loads(state["schema"]))
         fresh = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in old.fields if f.name not in df.columns})
         fresh = fresh.select(*old.names, *(c for c in fresh.columns if c not in old.names))
-        self._write(fresh, table, branch, state["partition_by"], keep=state["paths"])
+        self._write(fresh, table, branch, state["partition_by"], state, state["paths"])
 
-    def _touched(self, table: str, branch: str, source: DataFrame, keys: list[str], arriving: bool) -> tuple[DataFrame, list[str]]:
+    def _touched(self, table: str, state: dict, source: DataFrame, keys: list[str], arriving: bool) -> tuple[DataFrame, list[str]]:
         """(the target's rows in the partitions that a merge changes, the paths of all other partitions).
 
         Only keys and partition columns are read to find them; their list is as long as the table has partitions at most.
         """
-        state, target = self.pointer(table, branch), self.read(table, branch)
-        by = state["partition_by"]
+        target, by = self._read_paths(table, state, state["paths"]), state["partition_by"]
         if not by:
             return target, []
         parts = target.select(*dict.fromkeys([*keys, *by])).join(source.select(*keys), keys, "left_semi").select(*by)
@@ -170,21 +197,23 @@ class TableStore:
         clash = source.groupBy(*keys).count().filter(reduce(Column.__or__, (F.col(k).isNull() for k in keys), F.col("count") > 1))
         if not clash.isEmpty():
             raise ValueError("the source has null keys or several rows for a key")
-        target, kept = self._touched(table, branch, source, keys, arriving=True)
+        state = self._state(table, branch)
+        target, kept = self._touched(table, state, source, keys, arriving=True)
         merged = target.join(source.select(*keys), keys, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
-        self._write(merged, table, branch, self.pointer(table, branch)["partition_by"], kept)
+        self._write(merged, table, branch, state["partition_by"], state, kept)
 
     def merge_update(self, source: DataFrame, table: str, keys: list[str], assign: dict[str, Column], branch: str = MAIN) -> None:
         """Update matched rows only.  ``assign`` may refer to source columns as ``source.<name>``, not to partition columns."""
-        by = self.pointer(table, branch)["partition_by"]
+        state = self._state(table, branch)
+        by = state["partition_by"]
         if set(by) & assign.keys():
             raise ValueError("a partition column cannot be assigned")
-        target, kept = self._touched(table, branch, source, keys, arriving=False)
+        target, kept = self._touched(table, state, source, keys, arriving=False)
         hit = source.withColumn("_hit", F.lit(True)).alias("source")
         condition = reduce(Column.__and__, (F.col(f"target.{k}") == F.col(f"source.{k}") for k in keys))
         joined = target.alias("target").join(hit, condition, "left")
         columns = [F.when(F.col("source._hit"), assign[c]).otherwise(F.col(f"target.{c}")).alias(c) if c in assign else F.col(f"target.{c}") for c in target.columns]
-        self._write(joined.select(*columns), table, branch, by, kept)
+        self._write(joined.select(*columns), table, branch, by, state, kept)
 
     # branches
 
@@ -193,24 +222,22 @@ class TableStore:
         state = self.pointer(table)
         if state is None:
             raise ValueError(f"no table {table}")
-        self._put(f"{table}/refs/{env}.json", json.dumps(state))
+        self._point(table, env, state, self.pointer(table, env))
 
     def clone_empty(self, table: str, clone: str) -> None:
         """The same columns and partitioning without rows."""
         state = self.pointer(table)
-        self._put(f"{clone}/refs/{MAIN}.json", json.dumps(state | {"paths": [], "at": time.time()}))
+        self._point(clone, MAIN, state | {"paths": [], "at": time.time()}, self.pointer(clone))
 
     def teardown(self, table: str, env: str, buffer_s: float = 300) -> int:
         """Drop a branch and remove snapshots that nothing refers to and that are older than the buffer."""
-        self._fs.delete(self._path(f"{table}/refs/{env}.json"), False)
+        self._fs.delete(self._path(f"{table}/refs/{env}"), True)
         return self.sweep(table, buffer_s)
 
     def sweep(self, table: str, buffer_s: float = 300) -> int:
         used: set[str] = set()
         for status in self._fs.listStatus(self._path(f"{table}/refs")):
-            name = status.getPath().getName()
-            if name.endswith(".json"):
-                used |= {p.split("/", 1)[0] for p in json.loads(self._get(f"{table}/refs/{name}"))["paths"]}
+            used |= {p.split("/", 1)[0] for p in (self.pointer(table, status.getPath().getName()) or {"paths": []})["paths"]}
         removed = 0
         for status in self._fs.listStatus(self._path(f"{table}/data")):
             if status.getPath().getName() not in used and status.getModificationTime() / 1000 <= time.time() - buffer_s:
