@@ -15,13 +15,14 @@ def psi(observed: DataFrame, reference: DataFrame, key: str, share: str = "share
     clamp = lambda c: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(eps)), F.lit(1 - eps))
     b, r = clamp(F.col("_b")), clamp(F.col("_r"))
     terms = joined.select(key, ((b - r) * F.log(b / r)).alias("_term"))
-    total = F.sum("_term").over(Window.partitionBy())  # classes of a distribution: a handful of rows
-    return terms.select(key, F.round("_term", 6).alias("term"), F.round(total, 6).alias("psi"))
+    total = terms.agg(F.sum("_term").alias("_psi"))  # one row
+    return terms.join(F.broadcast(total)).select(key, F.round("_term", 6).alias("term"), F.round("_psi", 6).alias("psi"))
 
 
 def shares(df: DataFrame, key: str) -> DataFrame:
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.select(key, (F.col("_n") / F.sum("_n").over(Window.partitionBy())).alias("share"))
+    total = df.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    return counts.join(F.broadcast(total)).select(key, (F.col("_n") / F.col("_all")).alias("share"))
 
 
 def daily_changes(nav: DataFrame, fund: str, day: str, price: str) -> DataFrame:

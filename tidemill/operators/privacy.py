@@ -21,7 +21,7 @@ REGIONS = {
     "近畿": ["三重県", "滋賀県", "京都府", "大阪府", "兵庫県", "奈良県", "和歌山県"],
     "中国": ["鳥取県", "島根県", "岡山県", "広島県", "山口県"],
     "四国": ["徳島県", "香川県", "愛媛県", "高知県"],
-    "九州": ["福岡県", "佐賀県", "長崎県", "熊本県", "大分県", "宮崎県", "鹿児島県", "沖縄県"],
+    "九州・沖縄": ["福岡県", "佐賀県", "長崎県", "熊本県", "大分県", "宮崎県", "鹿児島県", "沖縄県"],
 }
 PREFECTURE = r"^(?:〒?\s*[0-9-]*\s*)?(北海道|(?:東京|京都|大阪).|[^\s0-9]{2,3}?[都府県])"
 CITY = r"(?:北海道|[都府県])\s*([^\s0-9]{1,6}?[市区町村])"
@@ -84,12 +84,13 @@ def k_violations(df: DataFrame, quasi: list[str], user: str, k: int) -> DataFram
 
 
 def k_anonymize(
-    df: DataFrame, quasi: list[str], user: str, amount: str, quantity: str, k: int, relabel: list[str], exact_distinct: bool = False, dummies: bool = False, noise_seed: int | None = None
+    df: DataFrame, quasi: list[str], user: str, amount: str, quantity: str, k: int, relabel: list[str], exact_distinct: bool = True, dummies: bool = False, noise_seed: int | None = None
 ) -> DataFrame:
     """Cells of at least k users; smaller ones take the label Other in the ``relabel`` columns and are merged.
 
-    Relabelled cells group by the same keys in every further round, so one merge is the fixed point.  By default a merged
-    cell adds up its parts' distinct users (one user may count twice); ``exact_distinct`` counts them anew from the rows.
+    Relabelled cells group by the same keys in every further round, so one merge is the fixed point.  A merged cell counts
+    its distinct users anew from the rows; without ``exact_distinct`` it adds up those of its parts, where one user may
+    count twice and a cell of fewer than k users may pass.
     ``dummies`` fills a merged cell that is still too small up to k users; noise moves sales by at most 3 per cent.
     """
     parts = cells(df, quasi, user, amount, quantity)

@@ -32,12 +32,15 @@ def session(app: str = "tidemill", cpus: int | None = None, **conf: str) -> Spar
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the one that all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Where the setting is missing (tests, a laptop) a
-    temporary folder is made once and set as the checkpoint folder of this session.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Where the setting is missing in local mode (tests, a
+    laptop) a temporary folder is made once and set as the checkpoint folder of this session; elsewhere it is an error,
+    as other machines could not read such a folder.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
