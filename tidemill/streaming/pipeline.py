@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import scratch
+from ..sources.avro import avro_to_json
+from ..sources.readers import wire_payload
 
 log = logging.getLogger(__name__)
 
@@ -45,9 +47,12 @@ def deduplicated(stream: DataFrame, keys: list[str], event: str, lateness: str =
     return stream.withWatermark(event, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def sliding(stream: DataFrame, key: str, event: str, amount: str, size: str = "60 minutes", slide: str = "5 minutes") -> DataFrame:
-    """Count, sum and largest amount per key and window; every event is in size/slide windows, so state grows with that."""
-    grouped = stream.groupBy(F.window(event, size, slide).alias("w"), key)
+def sliding(stream: DataFrame, key: str, event: str, amount: str, size: str = "60 minutes", slide: str = "5 minutes", lateness: str = "10 minutes") -> DataFrame:
+    """Count, sum and largest amount per key and window; every event is in size/slide windows, so state grows with that.
+
+    The watermark drops events whose windows are over and lets their state go.
+    """
+    grouped = stream.withWatermark(event, lateness).groupBy(F.window(event, size, slide).alias("w"), key)
     return grouped.agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("total"), F.max(amount).alias("largest")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "orders", "total", "largest"
     )
@@ -69,10 +74,11 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], seconds: in
     return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
-def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
+def collected(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
     """The whole result of a stream that ends, as a table in the shared folder.
 
-    Each batch writes a folder of its own name, so a repeated batch replaces itself.  In complete mode the last counts.
+    Each batch writes a folder of its own name, so a repeated batch replaces itself.  In complete mode the last counts, in
+    update mode the last row of each of the ``keys``.
     """
     spark, root = stream.sparkSession, scratch(stream.sparkSession, "stream-out")
     last: list[int] = []
@@ -81,11 +87,16 @@ def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{root}/batch={number:08d}")
         last.append(number)
 
-    run_to_end(stream, sink, mode)
+    run_to_end(stream, sink, mode, checkpoint)
     if not last:
         return spark.createDataFrame([], stream.schema)
     path = f"{root}/batch={last[-1]:08d}" if mode == "complete" else root
-    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+    rows = spark.read.schema(stream.schema).parquet(path)
+    if mode == "update":
+        others = [c for c in stream.columns if c not in keys]
+        rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(root)
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_last")).select(*keys, "_last.*")
+    return rows.select(*stream.columns)
 
 
 def tee(sinks: list[Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
@@ -119,6 +130,10 @@ def versioned_decode(stream: DataFrame, column: str, versions: list[tuple[int, s
     tries = stream
     for number, schema in versions:
         tries = tries.withColumn(f"_v{number}", F.from_json(F.col(column).cast("string"), schema))
+    return _first_fit(tries, column, versions, key, paths)
+
+
+def _first_fit(tries: DataFrame, column: str, versions: list[tuple[int, str]], key: str, paths: dict[int, str] | None) -> tuple[DataFrame, DataFrame]:
     at = {n: F.col(f"_v{n}.{(paths or {}).get(n, key)}") for n, _ in versions}
     tries = tries.withColumn("schema_version", F.coalesce(*(F.when(at[n].isNotNull(), F.lit(n)) for n, _ in versions)))
     fields = {n: StructType.fromDDL(s).names for n, s in versions}
@@ -133,6 +148,16 @@ def versioned_decode(stream: DataFrame, column: str, versions: list[tuple[int, s
     return good, dead
 
 
+def versioned_avro(stream: DataFrame, column: str, versions: list[tuple[int, str, str]], key: str, paths: dict[int, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``versioned_decode``, of framed Avro messages; a version is (number, Avro schema, Spark schema of its columns)."""
+    tries, payload = stream, wire_payload(F.col(column))
+    for number, schema, _ in versions:
+        tries = tries.withColumn(f"_json{number}", avro_to_json(payload, schema))
+    for number, _, columns in versions:
+        tries = tries.withColumn(f"_v{number}", F.from_json(f"_json{number}", columns))
+    return _first_fit(tries, column, [(n, c) for n, _, c in versions], key, paths)
+
+
 def latest_ranking(batch: DataFrame, key: str, n: int = 10) -> DataFrame:
     """Each key's newest window in a batch of window rows, and the n with the largest totals."""
     newest = batch.groupBy(key).agg(F.max(F.struct("window_start", "window_end", "total", "orders")).alias("l")).select(key, "l.*")
