@@ -58,6 +58,24 @@ def test_generator_plants_every_defect(spark):
     assert rows.filter("defect = 'nan_tax' and isnan(tax_usd)").count() == 2 and generator.as_messages(rows).count() == 200
 
 
+def test_what_a_producer_refuses(spark):
+    rows = [("0b4f88f9-6cee-44e9-936f-4aaa18bbbdba", 1), ("0B4F88F9-6CEE-44E9-936F-4AAA18BBBDBA", 0), ("0b4f88f9-6cee-14e9-936f-4aaa18bbbdba", 1), (None, 0), ("0b4f88f9-6cee-44e9-936f-4aaa18bbbdba", None)]
+    good, bad = generator.validated(spark.createDataFrame(rows, "id string, n int"), "id", "n")
+    assert good.count() == 1 and sorted(r["reason"] for r in bad.collect()) == ["identifier", "identifier", "quantity", "quantity"]
+
+
+def test_sinks_of_the_generator(spark, tmp_path):
+    rows = generator.orders(spark, 50)
+    generator.write_csv(rows, str(tmp_path / "c"))
+    assert readers.csv(spark, str(tmp_path / "c")).count() == 50
+    url = "jdbc:derby:memory:gen;create=true"
+    generator.write_jdbc(rows.withColumn("tax_usd", F.nanvl("tax_usd", F.lit(0.0))), url, "orders")
+    options = readers.jdbc_options('select "user_id", "order_id" from orders', '"user_id"', "1", "100", url, partitions=3)
+    got = readers.jdbc(spark, options)
+    assert got.rdd.getNumPartitions() == 3 and got.count() == 50
+    assert generator.order_stream(spark).isStreaming
+
+
 def test_rate_limit_and_dead_letters(spark):
     assert enrich.worker_rate(50, 4) == 6 and enrich.worker_rate(50, 100) == 1 and enrich.worker_rate(1000, 1) == 10
     now, slept = [0.0], []
@@ -75,6 +93,19 @@ def test_rate_limit_and_dead_letters(spark):
     assert sorted(map(tuple, out.collect())) == [(0, 0, False), (1, -1, True), (2, -1, True), (3, -1, True), (4, 8, False), (5, 10, False)]
 
 
+def test_calls_are_counted_and_failures_waited_for(spark):
+    counts = enrich.Counts(spark)
+
+    def client(rows):
+        if any(r["k"] >= 4 for r in rows):
+            raise RuntimeError("down")
+        return {r["k"]: {"v": 1} for r in rows}
+
+    enrich.api_enrich(spark.range(6).toDF("k").coalesce(1), "k", client, "k bigint, v int, _dlq boolean", chunk=2, rate=1000, max_attempts=3, counts=counts, wait=0.0).collect()
+    assert counts.values() == {"calls": 5, "success": 4, "fail": 2}
+    assert [enrich.backoff(n, 0.5, 3.0) for n in range(4)] == [0.5, 1.0, 2.0, 3.0]
+
+
 def stream_of(spark, tmp_path, parts, schema):
     for i, rows in enumerate(parts):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"s/p={i}"))

@@ -71,6 +71,22 @@ def documents(df: DataFrame, identifier: list[str]) -> DataFrame:
     return df.select(F.to_json(F.struct(*columns)).alias("value"))
 
 
+def replace_documents(store: TableStore, df: DataFrame, identifier: list[str], collection: str, env: str | None = None) -> str:
+    """Insert or replace each row's document (``_id``, ``value``) in a collection of the run's environment; its name.
+
+    Documents that the rows do not name stay; of several rows for one identifier the greatest holds.
+    """
+    name = f"{collection}_{env}" if env else collection
+    ids = F.concat_ws("-", *(F.col(c).cast("string") for c in identifier))
+    docs = df.select(ids.alias("_id"), F.to_json(F.struct(ids.alias("_id"), *(F.col(f"`{c}`") for c in df.columns))).alias("value"))
+    docs = docs.groupBy("_id").agg(F.max("value").alias("value"))
+    if store.pointer(name) is None:
+        store.create(docs, name)
+    else:
+        store.merge(docs, name, ["_id"])
+    return name
+
+
 def export_documents(df: DataFrame, identifier: list[str], path: str) -> None:
     """Replace the documents at ``path``: one JSON document a line, one per identifier (the greatest row of each)."""
     values = [c for c in df.columns if c not in identifier]

@@ -41,6 +41,14 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(fold_width(F.coalesce(text, F.lit("")))), F.lit(SCRIPT_RUNS), F.lit(1)))
 
 
+def regex_tokens(df: DataFrame, text: str, alias: str, pattern: str = r"[\p{IsHan}ぁ-んァ-ヺ]+|[a-z0-9]+") -> DataFrame:
+    """Tokens of a text by the pattern they match, as an estimator's stage; null texts have none."""
+    from pyspark.ml.feature import RegexTokenizer
+
+    filled = df.withColumn("_text", F.coalesce(fold_width(F.col(text)), F.lit("")))
+    return RegexTokenizer(inputCol="_text", outputCol=alias, pattern=pattern, gaps=False, toLowercase=True).transform(filled).drop("_text")
+
+
 def similarity_match(a: DataFrame, b: DataFrame, text: str, id_a: str, id_b: str, threshold: float) -> DataFrame:
     """Pairs of distinct texts with Jaccard distance at most ``threshold`` (below 1), with the number of ids on each side.
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..operators import modeling as m
 from ..operators.cdc import append_changes, cdc_log, replayed
 from ..operators.enrich import api_enrich
-from ..operators.ingest import Extractor, add_partitions, export_documents, ingest
+from ..operators.ingest import Extractor, add_partitions, export_documents, ingest, replace_documents
 from ..operators.lineage import RunContext, lineage_event
 from ..session import materialize, scratch
 from ..sources import table
+from ..sources.readers import jdbc, jdbc_options
 from ..sources.store import TableStore
 from . import Registry
 from .relational import money, user_orders
@@ -24,15 +25,22 @@ REGISTRY = query = Registry()
 # star
 
 
-@query("star_dim_customer", "select cast(c_custkey as varchar) as user_id, c_name, c_mktsegment, true as has_key from customer")
+@query("star_dim_customer", "select cast(c_custkey as varchar) as user_id, c_name, c_mktsegment, 1 as rows_of_key from customer")
 def star_dim_customer(spark: SparkSession, folder: str) -> DataFrame:
     dim = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), "c_name", "c_mktsegment")
-    return dim.withColumn("customer_sk", m.surrogate(F.col("user_id"))).select("user_id", "c_name", "c_mktsegment", F.col("customer_sk").isNotNull().alias("has_key"))
+    return _keyed(dim, "user_id")
 
 
-@query("star_dim_part", "select cast(p_partkey as varchar) as product_id, p_name, p_brand from part")
+def _keyed(dim: DataFrame, key: str) -> DataFrame:
+    """A dimension with the number of rows that share its surrogate key, found by joining on it."""
+    keyed = dim.withColumn("_sk", m.surrogate(F.col(key)))
+    sizes = keyed.groupBy("_sk").agg(F.count(F.lit(1)).cast("int").alias("rows_of_key"))
+    return keyed.join(sizes, "_sk").drop("_sk")
+
+
+@query("star_dim_part", "select cast(p_partkey as varchar) as product_id, p_name, p_brand, 1 as rows_of_key from part")
 def star_dim_part(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("product_id"), "p_name", "p_brand")
+    return _keyed(table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("product_id"), "p_name", "p_brand"), "product_id")
 
 
 _CALENDAR = """cast(year(date) * 10000 + month(date) * 100 + day(date) as int) as date_key, cast(year(date) as int) as year, cast(month(date) as int) as month, cast(day(date) as int) as day,
@@ -61,10 +69,27 @@ def star_fact_orders(spark: SparkSession, folder: str) -> DataFrame:
 @query("wide_star_reconcile", "select cast(null as bigint) as l_orderkey, cast(null as int) as l_linenumber, cast(null as varchar) as only_in where false")
 def wide_star_reconcile(spark: SparkSession, folder: str) -> DataFrame:
     """No row: the lines of all customers, with customer, part and amount, are the same in the wide table and in the star."""
+    return _differences(spark, folder, lambda star: star)
+
+
+_STAR = """(select l_orderkey, l_linenumber, o_custkey, l_partkey, cast(l_extendedprice as decimal(18,2)) as amount
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey)"""
+
+
+@query("wide_star_reconcile_planted", f"""
+select l_orderkey, l_linenumber, 'a' as only_in from {_STAR} where l_orderkey % 50 in (7, 9)
+union all select l_orderkey, l_linenumber, 'b' from {_STAR} where l_orderkey % 50 = 9""")
+def wide_star_reconcile_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """What the reconciliation says of a star that lost the lines of some orders and has wrong amounts in others."""
+    wrong = F.when(F.col("l_orderkey") % 50 == 9, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(18,2)")
+    return _differences(spark, folder, lambda star: star.filter("l_orderkey % 50 <> 7").withColumn("amount", wrong))
+
+
+def _differences(spark: SparkSession, folder: str, change) -> DataFrame:
     line = ["l_orderkey", "l_linenumber"]
     wide = user_orders(spark, folder).select(*line, F.col("o_custkey").cast("string").alias("user_id"), F.col("l_partkey").cast("string").alias("product_id"), money("l_extendedprice").alias("amount"))
     star = star_fact_orders(spark, folder).withColumnRenamed("o_orderkey", "l_orderkey")
-    return m.reconcile(wide, star).select(*line, "only_in")
+    return m.reconcile(wide, change(star)).select(*line, "only_in")
 
 
 # writes
@@ -109,6 +134,38 @@ def overwrite_partitions(spark: SparkSession, folder: str) -> DataFrame:
     return store.read("customer")
 
 
+@query("store_sweep", "select 2 as removed, count(*) as rows from region")
+def store_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Snapshots that nothing shows any more are removed; the table stays."""
+    store = TableStore(spark, scratch(spark, "store"))
+    for _ in range(3):
+        store.create(table(spark, folder, "region"), "region")
+    removed = store.sweep("region", buffer_s=0)
+    return store.read("region").agg(F.lit(removed).alias("removed"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("document_replace", """
+select strftime(cast(ts as date), '%Y-%m-%d') || '-' || user_id as _id, count(*) as orders from events group by cast(ts as date), user_id, 1""")
+def document_replace(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of an environment's collection, each replaced by a later and complete count."""
+    store = TableStore(spark, scratch(spark, "documents"))
+    counts = lambda rows: rows.groupBy(F.to_date("ts").alias("date"), "user_id").agg(F.count(F.lit(1)).alias("orders"))
+    events = table(spark, folder, "events")
+    replace_documents(store, counts(events.filter("event_id % 2 = 0")), ["date", "user_id"], "rankings", "dev")
+    name = replace_documents(store, counts(events), ["date", "user_id"], "rankings", "dev")
+    return store.read(name).select("_id", F.get_json_object("value", "$.orders").cast("bigint").alias("orders"))
+
+
+@query("jdbc_partitioned_scan", "select c_mktsegment, count(*) as rows, sum(c_custkey) as keys from customer where c_acctbal > 0 group by 1")
+def jdbc_partitioned_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """A subquery read in four partitions from an embedded database (in the driver's JVM, so for local masters only)."""
+    url = f"jdbc:derby:memory:t{uuid.uuid4().hex[:8]};create=true"
+    table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_mktsegment").write.format("jdbc").options(url=url, dbtable="customer", createTableColumnTypes="c_mktsegment varchar(32)").save()
+    pushed = 'select "c_custkey", "c_mktsegment" from customer where "c_acctbal" > 0'
+    rows = jdbc(spark, jdbc_options(pushed, '"c_custkey"', "1", "100000", url))
+    return rows.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("rows"), F.sum("c_custkey").alias("keys"))
+
+
 @query("append_rows", "select r_regionkey, r_name, cast(null as int) as version from region union all select r_regionkey + 100, r_name, 2 from region")
 def append_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The second write brings a new column."""
@@ -313,11 +370,11 @@ def external_partitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("document_export", """
-with t as (select cast(ts as date) as date, user_id, count(*) as orders from events where ts >= timestamp '2024-01-25' group by 1, 2)
+with t as (select cast(ts as date) as date, user_id, count(*) as orders from events group by 1, 2)
 select strftime(date, '%Y-%m-%d') || '-' || user_id as _id, user_id, orders from t""")
 def document_export(spark: SparkSession, folder: str) -> DataFrame:
     """Daily counts as documents keyed by date and user, read back."""
-    rows = table(spark, folder, "events").filter(F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")).groupBy(F.to_date("ts").alias("date"), "user_id").agg(F.count(F.lit(1)).alias("orders"))
+    rows = table(spark, folder, "events").groupBy(F.to_date("ts").alias("date"), "user_id").agg(F.count(F.lit(1)).alias("orders"))
     path = scratch(spark, "documents")
     export_documents(rows, ["date", "user_id"], path)
     return spark.read.schema("_id string, user_id bigint, orders bigint").json(path)

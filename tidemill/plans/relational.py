@@ -178,6 +178,17 @@ def quantiles(spark: SparkSession, folder: str) -> DataFrame:
     return q.select(F.round(F.col("q")[0], 4).alias("q25"), F.round(F.col("q")[1], 4).alias("q75"), F.round(F.col("q")[2], 4).alias("q95"))
 
 
+@query("quantiles_approximate", "select p, true as near from (values (0.25), (0.75), (0.95)) v(p)")
+def quantiles_approximate(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the share of rows up to each approximate quantile is within a thousandth of what it stands for."""
+    lines = table(spark, folder, "lineitem").select("l_extendedprice")
+    wanted = [0.25, 0.75, 0.95]
+    q = lines.agg(F.percentile_approx("l_extendedprice", wanted, 10_000).alias("q"))  # one row
+    counted = lines.join(F.broadcast(q)).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("l_extendedprice") <= F.col("q")[i]).alias(f"c{i}") for i in range(3)))
+    each = F.array(*(F.struct(F.lit(p).cast("double").alias("p"), (F.abs(F.col(f"c{i}") / F.col("n") - p) <= 0.001).alias("near")) for i, p in enumerate(wanted)))
+    return counted.select(F.inline(each))
+
+
 @query("describe_summary", """
 select count(o_totalprice) as n, round(avg(o_totalprice), 3) as mean, round(stddev(o_totalprice), 3) as sd, min(o_totalprice) as low, max(o_totalprice) as high from orders""")
 def describe_summary(spark: SparkSession, folder: str) -> DataFrame:
