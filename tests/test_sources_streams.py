@@ -163,6 +163,24 @@ def test_jobs_context_and_lineage(spark, tmp_path):
         ln.create_namespaces(spark, ["bad name"])
 
 
+def test_tables_with_properties(spark):
+    made = ln.table_ddl("t_props", "k bigint, d date", ["d"], {"owner": "desk's"}, "orders by day", ["k"])
+    assert ln.run_ddl(spark, made) == []
+    told = {r["key"]: r["value"] for r in spark.sql("show tblproperties t_props").collect()}
+    assert told["owner"] == "desk's" and told["identifier.fields"] == "k"
+    assert spark.catalog.listColumns("t_props")[1].isPartition
+    spark.sql("drop table t_props")
+
+
+def test_console_of_good_and_dead_rows(spark, tmp_path):
+    stream = stream_of(spark, tmp_path, [[("a",), (None,)]], "v string")
+    running = [sp.console(stream.filter(f"v is {kind} null"), name, scratch(spark, name)) for kind, name in (("not", "good"), ("", "dead"))]
+    for one in running:
+        one.processAllAvailable()
+        assert one.name in ("good", "dead") and one.exception() is None
+        one.stop()
+
+
 def test_sharing_of_a_batch(spark, tmp_path):
     seen = []
     stream = stream_of(spark, tmp_path, [[(1,), (2,)]], "id int")

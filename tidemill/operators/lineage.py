@@ -75,6 +75,23 @@ def run_ddl(spark: SparkSession, statements: list[str], go_on: bool = True) -> l
     return failed
 
 
+def table_ddl(name: str, schema: str, partition: list[str] | None = None, properties: dict[str, str] | None = None, comment: str | None = None, identifier: list[str] | None = None, using: str = "parquet") -> list[str]:
+    """Statements that make a table: columns, partitions, comment, properties, and its identifier.
+
+    Catalogs without row-level tables have no statement for identifier fields, so these are kept as a property.
+    """
+    quote = lambda text: "'" + str(text).replace("'", "\\'") + "'"
+    told = dict(properties or {}) | ({"identifier.fields": ",".join(identifier)} if identifier else {})
+    parts = [f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING {using}"]
+    if partition:
+        parts.append("PARTITIONED BY (" + ", ".join(f"`{c}`" for c in partition) + ")")
+    if comment:
+        parts.append(f"COMMENT {quote(comment)}")
+    if told:
+        parts.append("TBLPROPERTIES (" + ", ".join(f"{quote(k)} = {quote(v)}" for k, v in told.items()) + ")")
+    return ["\n".join(parts)]
+
+
 def create_namespaces(spark: SparkSession, pairs: list[str]) -> None:
     """``name=location`` tokens, or a name alone."""
     for pair in pairs:

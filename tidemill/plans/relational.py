@@ -9,6 +9,7 @@ from ..operators import modeling as m
 from ..session import scratch
 from ..sources import table
 from ..sources.names import alias_renamed, nan_to_null, sanitized
+from ..sources.pdf import pdf_files, written
 from ..sources.readers import csv, day_predicate, json_rows, json_text, paired_lines, typed, wire_payload
 from . import Registry
 from .funds import alias_rules
@@ -139,6 +140,20 @@ def line_pairs_wrangle(spark: SparkSession, folder: str) -> DataFrame:
     return paired_lines(table(spark, folder, "documents"), "doc_id", "text")
 
 
+@query("pdf_wrangle", "select n_nationkey, v.header, v.value from nation, lateral (values ('nation', cast(n_nationkey as varchar)), ('name', n_name), ('region', cast(n_regionkey as varchar))) v(header, value)")
+def pdf_wrangle(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines in pairs read from PDF files, one for each nation, written here."""
+    root = scratch(spark, "pdf")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():  # a fixed table of 25 rows
+        out = fs.create(path(f"{root}/{row['n_nationkey']}.pdf"), True)
+        out.write(bytearray(written(["nation", "name", str(row["n_nationkey"]), row["n_name"], "region", str(row["n_regionkey"])])))
+        out.close()
+    docs = pdf_files(spark, root).withColumn("n_nationkey", F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("int"))
+    return paired_lines(docs, "n_nationkey", "text")
+
+
 @query("federated_join", """
 select o_orderkey, c_name, cast(o_totalprice as decimal(18,2)) as total from orders join customer on cast(o_custkey as varchar) = cast(c_custkey as varchar)
 where o_orderdate >= timestamp '1997-01-01' order by o_totalprice desc, o_orderkey limit 50""")

@@ -74,6 +74,12 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], seconds: in
     return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
+def console(stream: DataFrame, name: str, checkpoint: str, seconds: int = 30, mode: str = "append") -> StreamingQuery:
+    """A named query that prints its batches."""
+    writer = stream.writeStream.queryName(name).format("console").option("truncate", False).outputMode(mode)
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def collected(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
     """The whole result of a stream that ends, as a table in the shared folder.
 
