@@ -12,7 +12,7 @@ from .addresses import locations
 from .bpe import count_tokens, encode_corpus
 from .links import pairs_of
 from .names import same_names
-from .packing import pack
+from .packing import CAPACITY, pack
 from .spam import judge_pages
 
 REGISTRY = query = Registry()
@@ -29,6 +29,19 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(sized, "doc_id", "tokens")
 
 
+@query("p9_valid", """
+select 0 as overfull, count(*) as documents, 0 as split_without_need, 0 as lost_tokens from documents""")
+def p9_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers above the capacity, documents assigned, short ones that were split, and tokens that are missing."""
+    sized = materialize(count_tokens(table(spark, folder, "documents"), "doc_id", "text"), "p9-sizes")
+    packed = materialize(pack(sized, "doc_id", "tokens"), "p9-packed")
+    overfull = packed.groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.count_if(F.col("t") > CAPACITY).alias("overfull"))
+    each = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("tokens").alias("sum")).join(sized, "doc_id", "full")
+    split = (F.col("parts") > 1) & (F.col("tokens") <= CAPACITY)
+    told = each.agg(F.count("parts").alias("documents"), F.count_if(split).alias("split_without_need"), F.sum(F.abs(F.coalesce("tokens", F.lit(0)) - F.coalesce("sum", F.lit(0)))).alias("lost_tokens"))
+    return overfull.join(F.broadcast(told)).select("overfull", "documents", "split_without_need", "lost_tokens")  # one row each
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return judge_pages(table(spark, folder, "documents"), "doc_id", "text").filter("case").select("doc_id")
