@@ -28,6 +28,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,11 @@ def fold(name: str) -> str:
 
 def canonical(name: str, rules: list[Rule]) -> tuple[str | None, int]:
     """(canonical name, priority) of the first rule that fits, by priority and then pattern; (None, 0) without one."""
+    return _canonical(name, tuple(rules))
+
+
+@lru_cache(maxsize=100_000)
+def _canonical(name: str, rules: tuple[Rule, ...]) -> tuple[str | None, int]:
     for pattern, target, priority in sorted(rules, key=lambda r: (r[2], r[0])):
         if re.match(pattern, fold(name), re.IGNORECASE):
             return target, priority
@@ -317,17 +323,17 @@ _CHANGES = "feed string, file_id bigint, kind string, name string, previous stri
 def follow(feed: str, columns: pd.DataFrame, said: pd.DataFrame, rules: list[Rule], steps: int = STEPS) -> list[tuple]:
     """All columns and changes of one feed.  ``kind`` is ``column`` for what a file has, else the change."""
     files: dict[int, dict[str, Column]] = {}
-    order = columns[["file_id", "delivered_on"]].drop_duplicates().sort_values(["delivered_on", "file_id"], na_position="first")
-    for row in columns.itertuples(index=False):
-        if isinstance(row.column, str):
-            files.setdefault(row.file_id, {})[row.column] = Column(row.column, [int(row.n_string), int(row.n_number), int(row.n_boolean)], list(row.kids), rules)
+    dates = dict(zip(columns["file_id"].tolist(), columns["delivered_on"].tolist()))
+    for file_id, name, kids, *types in zip(*(columns[c].tolist() for c in ("file_id", "column", "kids", "n_string", "n_number", "n_boolean"))):
+        if isinstance(name, str):
+            files.setdefault(file_id, {})[name] = Column(name, [int(n) for n in types], kids, rules)
     heard: dict[int, dict[tuple[str, str], tuple]] = {}
-    for row in said.itertuples(index=False):
-        heard.setdefault(row.file_id, {})[row.old, row.new] = (row.shared, row.agree, row.chance, row.overlap, row.fewest)
+    for file_id, old, new, *what in zip(*(said[c].tolist() for c in ("file_id", "old", "new", "shared", "agree", "chance", "overlap", "fewest"))):
+        heard.setdefault(file_id, {})[old, new] = tuple(what)
     out: list[tuple] = []
     fields: dict[str, dict] = {}  # current name -> the field: its last known type and its names so far
     before: dict[str, Column] | None = None
-    for file_id in order["file_id"]:
+    for file_id in sorted(dates, key=lambda f: (str(dates[f]) if dates[f] is not None and dates[f] == dates[f] else "", f)):  # dates as text sort by time
         now = dict(sorted(files.get(file_id, {}).items()))
         new_fields: dict[str, dict] = {}
         renamed: dict[str, str] = {}
