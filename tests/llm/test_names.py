@@ -110,22 +110,19 @@ def test_hot_name_and_empty(spark):
     assert same_names(df.limit(0), readings, places).count() == 0
 
 
-def test_candidates_hold_all_links_of_a_hot_date_and_of_a_house(spark):
-    """An initial and its name are candidates among 400 holders of one date, as on one house number."""
-    from tidemill.llm.names import candidates
+def test_grams_hold_all_links_of_a_date_and_of_a_house():
+    """An initial and its name, and tokens of three and six letters with exchanged neighbours, have a gram in common."""
+    from tidemill.llm.names import grams, small_links
 
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("kstnhmr") + rng.choice("aiueo") for _ in range(rng.randint(2, 4)))
     people = {i: [word(), word()] for i in range(400)} | {1000: ["t", "ono"], 1001: ["takahiro", "ono"], 1002: ["kei"], 1003: ["eki"], 1004: ["abcdef"], 1005: ["bacedf"]}
-    for kind, ids in (("birth", list(people)), ("place", [1000, 1001])):
-        rows = [(i, " ".join(people[i]), people[i], "e", kind) for i in ids]
-        df = spark.createDataFrame(rows, "rep bigint, name string, tokens array<string>, evidence string, kind string")
-        column = {"birth": "birth", "place": "location"}[kind]
-        records_of = {i: person(tokens=people[i], weights=[(t, 3.0) for t in people[i]], **{column: "e"}) for i in ids}
-        want = {(a, b) for a, b in itertools.combinations(sorted(ids), 2) if linked(records_of[a], records_of[b])}
-        got = [tuple(r) for r in candidates(df).collect()]
-        assert (1000, 1001) in want and want <= set(got) and len(got) == len(set(got))
-        assert {tuple(r) for r in candidates(df, block=7).collect()} == set(got)
+    for column, ids in (("birth", list(people)), ("location", [1000, 1001])):
+        held = [(i, person(tokens=people[i], weights=[(t, 3.0) for t in people[i]], **{column: "e"})) for i in ids]
+        pairs = [(a, b) for (a, x), (b, y) in itertools.combinations(held, 2) if linked(x, y)]
+        assert (1000, 1001) in pairs and sets_of(small_links(held), ids) == sets_of(pairs, ids)
+        of = lambda i: set().union(*(grams(t) for t in people[i]))
+        assert all(of(a) & of(b) for a, b in pairs)
 
 
 def crowd(n, seed, kind):
@@ -186,7 +183,7 @@ def test_signatures_find_what_brute_force_links(spark, kind):
     for block in (1000, 20):
         assert sets_of([tuple(r) for r in hot_links(rows.select("rep", "kind", "evidence"), payload, block).collect()], people) == want
     for hot in (0, 10**9):
-        assert sets_of([tuple(r) for r in links_of(rows, payload, hot).collect()], people) == want
+        assert sets_of([tuple(r) for r in links_of(payload, hot).collect()], people) == want
 
 
 def test_a_large_group_of_one_firm_is_linked_without_all_its_pairs(spark):

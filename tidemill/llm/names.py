@@ -23,7 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -271,33 +271,39 @@ def records(users: DataFrame, readings: DataFrame) -> DataFrame:
     return cast.filter("user_id is not null and user_name is not null").distinct().mapInPandas(run, _RECORD).distinct()
 
 
-def grams(token: Column) -> Column:
+def grams(token: str) -> set[str]:
     """Pairs of letters and the beginning, of which tokens that are ``alike`` share at least one.
 
     An initial, beginning or contraction shares the beginning; an edit takes at most two pairs away and an exchange of
     neighbours three, which leaves none only in tokens of three and six letters, so these have their sorted letters as well.
     """
-    pairs = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.substring(F.concat(F.lit("^"), token), i, F.lit(2)))
-    letters = F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(token, "")), ""))
-    return F.when(F.length(token).isin(3, 6), F.concat(pairs, F.array(letters))).otherwise(pairs)
+    marked = "^" + token
+    out = {marked[i : i + 2] for i in range(len(token))}
+    if len(token) in (3, 6):
+        out.add("~" + "".join(sorted(token)))
+    return out
 
 
-def candidates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs of representatives that share evidence and a gram, however many hold it.  ``rows``: rep, name, tokens, evidence.
+def small_links(people: list[tuple[int, dict]]) -> list[tuple[int, int]]:
+    """Links between the few holders of one evidence: those of the pairs with a gram in common that verification accepts,
+    but for pairs that links have already brought together."""
+    have = [set().union(*(grams(t) for t in p["tokens"])) for _, p in people]
+    root = list(range(len(people)))
 
-    One gram is the least that verified names share.  The holders of a frequent key are split into blocks, and each pair of
-    blocks is a key of its own, so no task meets a whole group.
-    """
-    shared = rows.groupBy("evidence").agg(F.count(F.lit(1)).alias("_holders")).filter("_holders > 1").select("evidence")
-    pieces = F.array_distinct(F.flatten(F.transform("tokens", grams)))
-    # the two strings are joined on as one number; a collision would bring a pair together that verification sorts out
-    each = rows.join(shared, "evidence").select("rep", "evidence", F.explode(pieces).alias("gram")).select("rep", F.xxhash64("evidence", "gram").alias("key"))
-    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    split = each.join(held, "key").select("rep", "key", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    a = split.select(F.col("rep").alias("a"), F.xxhash64("key", "own", "other").alias("key"))
-    b = split.select(F.col("rep").alias("b"), F.xxhash64("key", "other", "own").alias("key"))
-    return a.join(b, "key").filter("a < b").select("a", "b").distinct()
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, (_, x) in enumerate(people):
+        for j in range(i + 1, len(people)):
+            if not have[i].isdisjoint(have[j]):
+                a, b = top(i), top(j)
+                if a != b and linked(x, people[j][1]):
+                    root[max(a, b)] = min(a, b)
+    pairs = ((people[i][0], people[top(i)][0]) for i in range(len(people)))
+    return [(a, b) for a, b in pairs if a != b]
 
 
 def deletions(text: str, most: int) -> set[str]:
@@ -433,9 +439,6 @@ def same_names(users: DataFrame, readings: DataFrame, places: DataFrame) -> Data
     strong = F.col("box").isNotNull() | F.col("domain").isNotNull() | F.col("birth").isNotNull() | F.col("location").isNotNull()
     copies = base.filter(strong).alias("l").join(reps.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in identity]).select(F.col("l.user_id").alias("a"), F.col("r.rep").alias("b")).filter("a <> b")
     reps = materialize(reps.filter(strong), "p3-reps")
-    kinds = [("box", "box"), ("domain", "domain"), ("birth", "birth"), ("place", "location")]
-    evidence = F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("kind"), F.concat(F.lit(k + " "), F.col(c)).alias("evidence"))) for k, c in kinds)), lambda x: x.isNotNull())
-    rows = reps.select("rep", "name", "tokens", F.explode(evidence).alias("e")).select("rep", "name", "tokens", "e.kind", "e.evidence")
     weights = reps.select("rep", F.explode("tokens").alias("token")).distinct()
     total = reps.select("rep").distinct().agg(F.count(F.lit(1)).alias("n"))
     common = weights.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total), F.lit(True))  # one row
@@ -443,30 +446,35 @@ def same_names(users: DataFrame, readings: DataFrame, places: DataFrame) -> Data
     weighted = reps.select(*identity, "rep", "tokens", F.explode("tokens").alias("token")).join(common, "token")
     full = weighted.groupBy(*identity, "rep").agg(F.first("tokens").alias("tokens"), F.map_from_entries(F.collect_set(F.struct("token", "w"))).alias("weights"))
     payload = materialize(full.select("rep", F.struct("tokens", "weights", "organisation", "box", "domain", "birth", "location").alias("p")), "p3-payload")
-    links = links_of(rows, payload)
-    return classes(copies.unionByName(links), "a", "b")
+    return classes(copies.unionByName(links_of(payload)), "a", "b")
 
 
-def links_of(rows: DataFrame, payload: DataFrame, hot: int = HOT) -> DataFrame:
-    """All links (a, b) that verification accepts, or so many of them that the same names are linked in the end."""
-    rows = materialize(rows, "p3-rows")
-    frequent = rows.groupBy("evidence").agg(F.count(F.lit(1)).alias("_holders")).filter(F.col("_holders") > hot).select("evidence")
-    pairs = candidates(rows.join(frequent, "evidence", "left_anti"))
-    left, right = (payload.select(F.col("rep").alias(s), F.col("p").alias(f"p{s}")) for s in "ab")
-    judged = pairs.join(left, "a").join(right, "b")
-    for against in ("box", "domain", "birth"):  # what rules a pair out is seen without Python
-        judged = judged.filter(F.coalesce(F.col(f"pa.{against}") == F.col(f"pb.{against}"), F.lit(True)))
-    links = judged.mapInPandas(_verify, "a bigint, b bigint").distinct()
-    return links.unionByName(hot_links(rows.join(frequent, "evidence").select("rep", "kind", "evidence"), payload))
+def links_of(payload: DataFrame, hot: int = HOT) -> DataFrame:
+    """All links (a, b) that verification accepts, or so many of them that the same names are linked in the end.
+
+    ``payload``: rep, p.  The holders of one evidence, up to ``hot`` of them, lie next to each other in a sorted partition.
+    """
+    kinds = [("box", "box"), ("domain", "domain"), ("birth", "birth"), ("place", "location")]
+    evidence = F.filter(F.array(*(F.when(F.col(f"p.{c}").isNotNull(), F.struct(F.lit(k).alias("kind"), F.concat(F.lit(k + " "), F.col(f"p.{c}")).alias("evidence"))) for k, c in kinds)), lambda x: x.isNotNull())
+    rows = payload.select("rep", F.explode(evidence).alias("e"), "p").select("rep", "e.kind", "e.evidence", "p")
+    counts = rows.groupBy("evidence").agg(F.count(F.lit(1)).alias("_holders")).filter("_holders > 1")
+    few = rows.join(counts.filter(F.col("_holders") <= hot).select("evidence"), "evidence").select("evidence", "rep", "p")
+    links = few.repartition("evidence").sortWithinPartitions("evidence").mapInPandas(_compare, "a bigint, b bigint").distinct()
+    many = rows.join(counts.filter(F.col("_holders") > hot).select("evidence"), "evidence").select("rep", "kind", "evidence")
+    return links.unionByName(hot_links(many, payload))
 
 
-def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    current, held = None, []
     for part in parts:
-        out = []
-        for a, b, x, y in zip(part["a"], part["b"], part["pa"], part["pb"]):
-            if a != b and linked(x, y):
-                out.append((a, b))
+        out: list[tuple[int, int]] = []
+        for evidence, rep, p in zip(part["evidence"], part["rep"], part["p"]):
+            if evidence != current:
+                out += small_links(held)
+                current, held = evidence, []
+            held.append((rep, p))
         yield pd.DataFrame(out, columns=["a", "b"])
+    yield pd.DataFrame(small_links(held), columns=["a", "b"])
 
 
 def linked(x: dict, y: dict) -> bool:
