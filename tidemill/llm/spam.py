@@ -207,7 +207,7 @@ FEW_WORDS, LEAST_PAGES, LEAST_TYPES = 0.53, 20, 30
 #: residual of its curve this many away from it.
 DIVERGENT, EXTREME = 2.0, 5.0
 #: Words of one language and octave of length that the reference distribution names; the rest of a page counts as unnamed.
-VOCABULARY = 2000
+VOCABULARY = 1000
 
 _FIELDS = ["tokens", "types", "prose", "keyword", "link", "links", "keywords", "other", "counted", "ja"]
 _SCHEMA = "digest bigint, " + ", ".join(f"{f} bigint" for f in _FIELDS) + ", spectrum array<struct<f:bigint,n:bigint>>, words array<struct<w:string,n:bigint>>"
@@ -272,15 +272,18 @@ def _is_prose() -> Column:
 def divergences(pages: DataFrame, key: str) -> DataFrame:
     """Jensen-Shannon divergence (0 to 1) of each page's words from those of prose of its language and octave of length.
 
-    The reference is the mean distribution over different texts, cut to its ``VOCABULARY`` most frequent words, so it is
+    The reference is the mean distribution over texts, cut to its ``VOCABULARY`` most frequent words, so it is
     bounded by languages, octaves and that number whatever the corpus; a word that it does not name shares nothing.
     """
     octave = F.floor(F.log2(F.greatest("counted", F.lit(1)))).cast("int")
     pages = pages.select(key, "digest", "ja", octave.alias("octave"), F.greatest("counted", F.lit(1)).alias("counted"), "words", _is_prose().alias("_prose"))
-    texts = pages.filter("_prose").groupBy("digest").agg(F.min(key).alias(key))  # copies of a text count once
-    words = pages.filter("_prose").join(texts.select(key), key).select("ja", "octave", "counted", F.explode("words").alias("e"))
-    sums = words.groupBy("ja", "octave", F.col("e.w").alias("w")).agg(F.sum(F.col("e.n") / F.col("counted")).alias("s"))
-    texts_of = pages.filter("_prose").select("ja", "octave", "digest").distinct().groupBy("ja", "octave").agg(F.count(F.lit(1)).alias("texts"))
+    # copies of a text that has more than one page in a thousand weigh as one page; there are less than a thousand such texts
+    total = pages.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    heavy = pages.filter("_prose").groupBy("digest").agg(F.count(F.lit(1)).alias("_copies")).join(F.broadcast(total)).filter("_copies > 1 and _copies * 1000 > _all").select("digest", "_copies")
+    prose = pages.filter("_prose").join(F.broadcast(heavy), "digest", "left").withColumn("_weight", 1 / F.coalesce("_copies", F.lit(1)))
+    words = prose.select("ja", "octave", (F.col("_weight") / F.col("counted")).alias("_each"), F.explode("words").alias("e"))
+    sums = words.groupBy("ja", "octave", F.col("e.w").alias("w")).agg(F.sum(F.col("e.n") * F.col("_each")).alias("s"))
+    texts_of = prose.groupBy("ja", "octave").agg(F.sum("_weight").alias("texts"))
     sums = materialize(sums, "p10-words")
     every = sums.groupBy("ja", "w").agg(F.sum("s").alias("s")).withColumn("octave", F.lit(-1))
     sums = sums.unionByName(every)
