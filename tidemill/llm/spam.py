@@ -44,19 +44,20 @@ SHOWN = re.compile(r'(?:alt|content|title)="([^"]*)"')
 TAG = re.compile(r"<[^<>]*>")
 LINK = re.compile(r"(?:https?://|www\.)[^\s<>\")\],\x80-\U0010ffff]+")
 BARE = re.compile(r"[a-z0-9-]+(?:\.|\[\.\]|\(\.\)| dot )(?:example|test|invalid|com|net|org|info|biz|io|jp)(?![a-z0-9])(?:[/?][^\s<>\")\],\x80-\U0010ffff]*)?")
-BARE_HINT = re.compile(r"(?:\.|\]|\)|dot )(?:example|test|invalid|com|net|org|info|biz|io|jp)(?![a-z0-9])")
+BARE_HINT = re.compile(r"[.\])](?:example|test|invalid|com|net|org|info|biz|io|jp)(?![a-z0-9])")
+DOT_HINT = re.compile(r"dot (?:example|test|invalid|com|net|org|info|biz|io|jp)(?![a-z0-9])")
 SPACED = re.compile(r"(?<![^\W_])\w(?:[.\- ]\w)+(?![^\W_])")
 #: Joiners, marks without width and pictographs; removed before reading.
 UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff\ufe0f\U0001f000-\U0001faff\u2600-\u2604\u2607-\u27bf\u20e3]")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 FIELD = re.compile(r"\s*[|/,;・、\t]\s*")
 NUMBER = re.compile(r"[a-z#]{0,4}[\d.,:/%$¥-]*\d[\d.,:/%$¥-]*$")
-BLOB = re.compile(r"[a-z0-9+/=_-]{40,}")
+BLOB = re.compile(r"[a-z0-9+/=_-]{40,}+")
 CODE = re.compile(
     r"\s*(?:\[?\d{4}-\d\d-\d\d[t ]\d\d:\d\d|file \"|traceback|at [\w.$]+\(|(?:create|select|insert|update|delete|where|def|import|return) |from \w+$|group by|order by|limit \d|[){}]|\w+error\b)"
 )
 CODE_INSIDE = re.compile(r"\b(?:info|warn|error|debug)\b.*\[\d+\]|decimal\(|(?:string|int|date|timestamp|double|bigint) comment|[;{]\s*$")
-CODE_HINT = re.compile(r" comment|decimal\(|[;{]\n|\b(?:info|warn|error|debug) ")
+CODE_HINTS = (" comment", "decimal(", ";\n", "{\n", "info ", "warn ", "error ", "debug ")
 CODE_MORE = re.compile(r"\s{2,}\S|\S+,$|\)")
 
 EN_THE, EN_FUNCTION, EN_WORD, JA_GRAMMAR, JA_WORD, DIGITS = range(6)
@@ -78,15 +79,19 @@ def classes(tokens: list[str]) -> list[int]:
     """How many tokens there are of each class."""
     out, known = [0] * 6, _class
     for token in tokens:
-        kind = known.get(token)
-        if kind is None:
+        if token not in known:
             if len(known) > 200_000:
                 known.clear()
-            kind = known[token] = _class_of(token)
-        out[kind] += 1
+            known[token] = _class_of(token)
+        out[known[token]] += 1
     return out
 
 
+def _hinted(text: str) -> bool:
+    """Whether a text may have an address without its scheme."""
+    return BARE_HINT.search(text) is not None or ("dot " in text and DOT_HINT.search(text) is not None)
+
+
 def is_prose(kinds: list[int]) -> bool:
     the, function, word, grammar, ja, _ = kinds
     en = the + function + word
@@ -98,19 +103,19 @@ def is_prose(kinds: list[int]) -> bool:
 class Page:
     """Weights (in characters) of the parts of a text, and its words."""
 
-    __slots__ = ("words", "kinds", "prose", "keyword", "link", "links", "keywords", "other", "tags")
+    __slots__ = ("words", "kinds", "prose", "keyword", "link", "links", "keywords", "other", "tags", "_tokens")
 
     def __init__(self, text: str) -> None:
-        self.words: Counter[str] = Counter()
+        self._tokens: list[str] = []
         self.kinds = [0] * 6
         self.prose = self.keyword = self.link = self.links = self.keywords = self.other = self.tags = 0
         if not text.isascii():
             text = UNSEEN.sub("", text)
             if not unicodedata.is_normalized("NFKC", text):
-                text = unicodedata.normalize("NFKC", text)
+                text = "\n".join([line if unicodedata.is_normalized("NFKC", line) else unicodedata.normalize("NFKC", line) for line in text.split("\n")])
         text = text.lower()
-        bare, http, tags = BARE_HINT.search(text) is not None, "http" in text or "www." in text, "<" in text
-        hint, blob = CODE_HINT.search(text) is not None, BLOB.search(text) is not None
+        bare, http, tags = _hinted(text), "http" in text or "www." in text, "<" in text
+        hint, blob = any(h in text for h in CODE_HINTS), BLOB.search(text) is not None
         code = False
         for line in text.split("\n"):
             if not line or line.isspace():
@@ -119,11 +124,12 @@ class Page:
             if CODE.match(line) or (hint and CODE_INSIDE.search(line)) or (code and CODE_MORE.match(line)):
                 code = True
                 self.other += len(line)
-                tokens = TOKEN.findall(line)
-                self.words.update(tokens)
+                self._tokens += TOKEN.findall(line)
                 continue
             code = False
             self._line(line, bare, http, tags, blob)
+        self.words = Counter(self._tokens)
+        self._tokens = []
 
     def _line(self, line: str, bare: bool, http: bool, tags: bool, blob: bool) -> None:
         links: list[str] = []
@@ -131,7 +137,7 @@ class Page:
         if (http and ("http" in line or "www." in line)) or bare:
             links = LINK.findall(line)
             plain = LINK.sub(" ", line) if links else line
-            if bare and BARE_HINT.search(plain):
+            if bare and _hinted(plain):
                 links += BARE.findall(plain)
                 plain = BARE.sub(" ", plain)
             link_size = sum(map(len, links))
@@ -148,11 +154,11 @@ class Page:
                 plain = plain.replace(b, " ")
             self.other += sum(map(len, blobs))
         tokens = TOKEN.findall(plain)
-        if len(tokens) > 5 and len(plain) < 3 * len(tokens) and sum(1 for t in tokens if len(t) == 1 and not "ぁ" <= t <= "ん") * 3 > len(tokens):
+        if len(tokens) > 5 and len(plain) < 3 * len(tokens) and len([t for t in tokens if len(t) == 1 and not "ぁ" <= t <= "ん"]) * 3 > len(tokens):
             plain = SPACED.sub(lambda m: re.sub(r"[.\- ]", "", m.group()), plain)
             tokens = TOKEN.findall(plain)
         kinds = classes(tokens)
-        self.words.update(tokens)
+        self._tokens += tokens
         for i, n in enumerate(kinds):
             self.kinds[i] += n
         the, function, word, grammar, ja, digits = kinds
@@ -190,7 +196,7 @@ class Page:
 
     def distribution(self) -> dict[str, int]:
         """Counts of words, where all numbers are one word, and so are all links and all tags."""
-        out = {w: n for w, n in self.words.items() if not w[0].isdigit()}
+        out = {w: n for w, n in self.words.items() if w > ":"}  # numbers sort before it, all other words after
         for name, n in (("<number>", sum(self.words.values()) - sum(out.values())), ("<link>", self.links), ("<tag>", self.tags)):
             if n:
                 out[name] = n
@@ -228,9 +234,7 @@ def read_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, out, spectra, words = [], {f: [] for f in _FIELDS}, [], []
-            column = batch.column(text)
-            for i in range(batch.num_rows):
-                value = column[i].as_py()
+            for i, value in enumerate(batch.column(text).to_pylist()):
                 if not value:
                     continue
                 page = Page(value)
