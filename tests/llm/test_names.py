@@ -37,9 +37,15 @@ def test_similarity(names):
     assert similarity([], ["a"], lambda t: 1.0) == 0 and alike("trdg", "trading") > 0.8 and alike("kenichi", "tomoko") == 0
 
 
-def test_mailbox():
-    assert mailbox(" A.B00012345+x@P.example ") == ("a.b00012345@p.example", None) and mailbox("u12300000552@h.example") == (None, None)
-    assert mailbox("info@maikena955.example") == (None, "maikena955.example") and mailbox("none") == (None, None) and mailbox(None) == (None, None)
+def test_mailbox(spark):
+    assert mailbox(" A.B00012345+x@P.example ") == ("a.b00012345", "p.example") and mailbox("none") == (None, None) == mailbox(None)
+    born = dt.date(1980, 1, 2)
+    rows = [(str(i), f"Ann Bell{'abcdefgh'[i]}", f"ann.{i}@p.example", born if i else None) for i in range(6)] + [("6", "Ann Bell", "u12300000552@p.example", born)]
+    rows += [("10", "高橋物流株式会社", "info@firm.example", None), ("11", "Takahashi Logistics", "buy@firm.example", None), ("12", "高橋 健一", "k@home.example", None), ("13", None, "x@y.example", None)]
+    df = spark.createDataFrame(rows, "user_id string, user_name string, email string, birth_date date")
+    got = {r["user_id"]: (r["box"], r["domain"], r["organisation"]) for r in records(df, spark.createDataFrame(READINGS, "kind string, written string, kana string, romaji string")).collect()}
+    assert got[0] == ("ann.0@p.example", None, False) and got[6] == (None, None, False) and got[12] == ("k@home.example", None, False)
+    assert got[10] == got[11] == (None, "firm.example", True) and 13 not in got
 
 
 def person(**k):

@@ -3,7 +3,8 @@
 1. Speculate: every word is cut by greedy longest match against the vocabulary, many words side by side.
 2. Verify: a cut is the true encoding exactly if every adjacent pair of its tokens is compatible, that is, if merging the
    bytes of the two tokens by themselves gives the same two tokens back.  All pairs of a batch are looked up at once;
-   the verdict of a pair not met before is worked out once and kept.
+   the verdict of a pair not met before is worked out once and kept.  A word that is a token as a whole has no pair and is
+   taken as it is, which is the tokenizer's own rule for words of its vocabulary.
 3. Merge: only words with an incompatible pair go through the exact merging of BPE.
 
 Defined results: an empty text and a null text both have the empty list of ids; the strings of special tokens are
@@ -75,7 +76,6 @@ class Encoder:
         self.first = np.full(256, -1, dtype=np.int64)
         for byte in range(256):
             self.first[byte] = edges.get(byte, -1)
-        # tokens that merging cannot reach must not be speculated
         self.size = size
 
     def forget(self) -> None:

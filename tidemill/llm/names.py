@@ -220,18 +220,13 @@ def similarity(a: list[str], b: list[str], weight) -> float:
 
 
 def mailbox(email: str | None) -> tuple[str | None, str | None]:
-    """(a person's mailbox, a company's domain); account numbers in place of a name identify nobody else."""
+    """(local part, domain) of an address in one case, without what follows a plus."""
     text = unicodedata.normalize("NFKC", email or "").strip().lower()
     found = re.fullmatch(r"([^@\s+]+)(?:\+[^@]*)?@([^@\s]+)", text)
-    if not found:
-        return None, None
-    local, domain = found.groups()
-    if re.match(r"[a-z]{4,}\d+\.", domain) and not re.search(r"\d{4,}", local):
-        return None, domain
-    return (None if re.fullmatch(r"u?\d{6,}", local) else f"{local}@{domain}"), None
+    return found.groups() if found else (None, None)
 
 
-_RECORD = "user_id bigint, name string, tokens array<string>, organisation boolean, box string, domain string, birth string"
+_RECORD = "user_id bigint, name string, tokens array<string>, organisation boolean, local string, host string, birth string"
 
 #: Name similarity needed beside each kind of evidence.
 SURE = {"box": 0.2, "domain": 0.2, "birth": 0.66, "place": 0.68}
@@ -260,15 +255,22 @@ def records(users: DataFrame, readings: DataFrame) -> DataFrame:
                 tokens, organisation = names.tokens(name)
                 if not tokens:
                     continue
-                box, domain = mailbox(email)
+                local, host = mailbox(email)
                 day = None
                 if birth is not None and birth == birth:
                     day = f"{birth.year}-" + "-".join(map(str, sorted((birth.month, birth.day))))
-                out.append((int(user), " ".join(tokens), tokens, organisation or domain is not None, box, domain, day))
+                out.append((int(user), " ".join(tokens), tokens, organisation, local, host, day))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
 
     cast = users.select(F.expr("try_cast(trim(user_id) as bigint)").alias("user_id"), "user_name", "email", "birth_date")
-    return cast.filter("user_id is not null and user_name is not null").distinct().mapInPandas(run, _RECORD).distinct()
+    read = materialize(cast.filter("user_id is not null and user_name is not null").distinct().mapInPandas(run, _RECORD).distinct(), "p3-read")
+    # a firm has a domain of its own, where hardly anybody has a date of birth; a provider's holders are persons
+    firms = read.filter("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("_n"), F.count("birth").alias("_born"), F.max("organisation").alias("_firm"))
+    firms = firms.filter("_firm and _born * 5 <= _n").select("host", F.lit(True).alias("_own"))
+    own = F.coalesce("_own", F.lit(False)) & ~F.coalesce(F.col("local").rlike("[0-9]{4,}"), F.lit(False))
+    box = F.when(~own & ~F.col("local").rlike("^[a-z]?[0-9]{6,}$"), F.concat("local", F.lit("@"), "host"))  # an account number names nobody
+    out = read.join(firms, "host", "left").select("user_id", "name", "tokens", (F.col("organisation") | own).alias("organisation"), box.alias("box"), F.when(own, F.col("host")).alias("domain"), "birth")
+    return out.distinct()
 
 
 def grams(token: str) -> set[str]:
