@@ -138,14 +138,18 @@ def accept(batch: DataFrame, id_col: str, order_col: str, row_id: str, seen_rang
 
 
 def _accept(rows: DataFrame, seen_ranges: DataFrame, seen_keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    block = F.floor(F.col("_mid.seq") / BLOCK).cast("bigint")
-    numbers = rows.filter("_mid.producer is not null").select(F.col("_mid.producer").alias("producer"), block.alias("block"), F.col("_mid.seq").alias("seq"), "_key").distinct()
-    old = covered(numbers, seen_ranges).join(numbers, ["producer", "block", "seq"]).select("_key")
-    known = rows.filter("_mid.key is not null").select("_key").distinct().join(seen_keys.toDF("_key"), "_key", "left_semi")
-    marked = materialize(_mark(rows, old.unionByName(known)).select("_row", "kept", "_key", "_mid.producer", "_mid.seq", F.col("_mid.key").isNotNull().alias("_keyed")), "p6-batch")
-    new = marked.filter("kept")
-    fresh = new.filter("producer is not null").select("producer", F.col("seq").alias("lo"), F.col("seq").alias("hi"))
-    ranges = materialize(merge_ranges(seen_ranges.unionByName(fresh)), "p6-ranges")
+    counted = rows.filter("_mid.producer is not null")
+    refused = rows.filter("_mid.key is not null").select("_key").distinct().join(seen_keys.toDF("_key"), "_key", "left_semi")
+    sequences = not counted.isEmpty()
+    if sequences:
+        block = F.floor(F.col("_mid.seq") / BLOCK).cast("bigint")
+        numbers = counted.select(F.col("_mid.producer").alias("producer"), block.alias("block"), F.col("_mid.seq").alias("seq"), "_key").distinct()
+        refused = refused.unionByName(covered(numbers, seen_ranges).join(numbers, ["producer", "block", "seq"]).select("_key"))
+    marked = materialize(_mark(rows, refused).select("_row", "kept", "_key", "_mid.producer", "_mid.seq", F.col("_mid.key").isNotNull().alias("_keyed")), "p6-batch")
+    new, ranges = marked.filter("kept"), seen_ranges
+    if sequences:
+        fresh = new.filter("producer is not null").select("producer", F.col("seq").alias("lo"), F.col("seq").alias("hi"))
+        ranges = materialize(merge_ranges(seen_ranges.unionByName(fresh)), "p6-ranges")
     return marked.select("_row.*", "kept"), ranges, new.filter("_keyed").select(F.col("_key").alias("message_key"))
 
 
