@@ -188,10 +188,11 @@ def joined(word: str, parts: list[str]) -> float:
 
 
 def similarity(a: list[str], b: list[str], weight) -> float:
-    """Soft weighted token similarity; rare tokens count more.  Names written together are also compared as a whole."""
+    """Soft weighted token similarity; rare tokens count more.  Names of which one is written in fewer words are also
+    compared as a whole."""
     if not a or not b:
         return 0.0
-    if len(a) > len(b):
+    if (len(a), a) > (len(b), b):  # the weights of the first name count, so which one that is must not depend on the order
         a, b = b, a
     # whole tokens find their partners before initials do
     pairs = sorted(((min(len(x), len(y)) > 1, alike(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
@@ -207,7 +208,7 @@ def similarity(a: list[str], b: list[str], weight) -> float:
     spare = sum(weight(b[j]) * (0.15 if len(b[j]) == 1 else 1.0) for j in right)
     whole = shared + lost + spare
     score = shared / whole if whole and named else 0.0  # initials alone name nobody
-    if len(a) == 1 or score < 0.75:
+    if len(a) == 1 or (score < 0.75 and len(a) != len(b)):
         x = "".join(a)
         for y in {"".join(b), "".join(reversed(b))} if len(b) <= 3 else {"".join(b)}:
             most = max(1, min(3, len(y) // 5))
@@ -354,15 +355,16 @@ def signatures(tokens: list[str], weights: dict[str, float], least: float) -> It
             yield f"c{t[0]}", t, True
         if short:
             yield f"c{t[0]}", t, False
+    apart = len(tokens) != 2  # two names of two words are not compared as a whole
     for whole in {"".join(tokens), "".join(reversed(tokens))}:
         if len(whole) <= 10:
             for v in deletions(whole, 1):
-                yield "J" + v, "", True
+                yield "J" + v, whole, apart
         if len(whole) >= 9:
             for v in deletions(whole[:5], 1):
-                yield "J^" + v, "", True
+                yield "J^" + v, whole, apart
             for v in deletions(whole[-5:], 1):
-                yield "J$" + v, "", True
+                yield "J$" + v, whole, apart
 
 
 def hot_links(rows: DataFrame, payload: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -383,7 +385,9 @@ def hot_links(rows: DataFrame, payload: DataFrame, block: int = BLOCK) -> DataFr
 
     each = held.mapInPandas(sign, "rep bigint, key string, token string, ask boolean").groupBy("rep", "key", "token").agg(F.max("ask").alias("ask"))
     each = materialize(each, "p3-signatures")
-    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("_any")).filter("n > 1 and _any")
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("_any"), F.min("ask").alias("_all"))
+    # under p and c, whole words ask for what is short, not for each other
+    counts = counts.filter("n > 1 and _any").filter(~F.substring(F.substring_index("key", " ", -1), 1, 1).isin("p", "c") | ~F.col("_all")).select("key", "n")
     blocks = F.ceil(F.col("n") / block).cast("int")
     split = each.join(counts, "key").withColumn("_own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     # every holder goes to the pairs of its block with all blocks; (x, y) and (y, x) are one task
@@ -391,41 +395,59 @@ def hot_links(rows: DataFrame, payload: DataFrame, block: int = BLOCK) -> DataFr
     split = split.select("rep", "token", "ask", "key", F.least("_own", "_with").alias("_x"), F.greatest("_own", "_with").alias("_y"))
     split = split.join(payload, "rep")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        plain = group["key"].iloc[0].split(" ")[-1][0]
-        reps, tokens, asks, people = group["rep"].tolist(), group["token"].tolist(), group["ask"].tolist(), group["p"].tolist()
-        root = list(range(len(reps)))
-        known: dict[tuple[str, str], bool] = {}
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        def near(x: str, y: str) -> bool:
-            if plain in "TJ":
-                return True  # the same token, or names as a whole
-            if x == y:
-                return False  # compared where equal tokens meet
-            pair = (x, y) if x < y else (y, x)
-            if pair not in known:
-                known[pair] = alike(*pair) >= 0.6
-            return known[pair]
-
-        for i in range(len(reps)):
-            if not asks[i]:
-                continue
-            for j in range(len(reps)):
-                if (j < i and asks[j]) or reps[i] == reps[j] or not near(tokens[i], tokens[j]):
-                    continue
-                x, y = top(i), top(j)
-                if x != y and linked(people[i], people[j]):
-                    root[max(x, y)] = min(x, y)
-        links = [(reps[i], reps[top(i)]) for i in range(len(reps)) if top(i) != i]
-        return pd.DataFrame([x for x in links if x[0] != x[1]], columns=["a", "b"])
+    ordered = split.repartition("key", "_x", "_y").sortWithinPartitions("key", "_x", "_y")
+    return ordered.mapInPandas(_compare_blocks, "a bigint, b bigint").distinct()
+
+
+def _compare_blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by key and blocks; at most two blocks are held at a time."""
+    current, held = None, []
+    for part in parts:
+        out: list[tuple[int, int]] = []
+        for at, row in zip(zip(part["key"], part["_x"], part["_y"]), zip(part["rep"], part["token"], part["ask"], part["p"])):
+            if at != current:
+                if len(held) > 1:
+                    out += _meet(current[0].split(" ")[-1][0], held)
+                current, held = at, []
+            held.append(row)
+        yield pd.DataFrame(out, columns=["a", "b"])
+    yield pd.DataFrame(_meet(current[0].split(" ")[-1][0], held) if len(held) > 1 else [], columns=["a", "b"])
+
 
-    return split.groupBy("key", "_x", "_y").applyInPandas(compare, "a bigint, b bigint").distinct()
+def _meet(kind: str, held: list[tuple[int, str, bool, dict]]) -> list[tuple[int, int]]:
+    """Links between the holders of one signature of a kind (its first letter)."""
+    root = list(range(len(held)))
+    known: dict[tuple[str, str], bool] = {}
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def near(x: str, y: str) -> bool:
+        if kind == "T":
+            return True
+        if x == y:
+            return kind == "J"  # equal tokens are compared where they meet
+        pair = (x, y) if x < y else (y, x)
+        if pair not in known:
+            most = max(1, min(3, max(len(x), len(y)) // 5))
+            known[pair] = distance(x, y, most) <= most if kind == "J" else alike(x, y) >= 0.6
+        return known[pair]
+
+    asked = [(j, *row) for j, row in enumerate(held) if kind not in "pc" or not row[2]]
+    for i, (rep, token, ask, person) in enumerate(held):
+        if not ask:
+            continue
+        for j, other, word, asks, them in asked:
+            if (j < i and asks) or rep == other:
+                continue
+            x, y = top(i), top(j)
+            if x != y and near(token, word) and linked(person, them):
+                root[max(x, y)] = min(x, y)
+    pairs = ((held[i][0], held[top(i)][0]) for i in range(len(held)))
+    return [(a, b) for a, b in pairs if a != b]
 
 
 def same_names(users: DataFrame, readings: DataFrame, places: DataFrame) -> DataFrame:
