@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "orders_microbatch_window_raw users fund_master_v2 dim_fund legacy_fund_master column_alias_map taxonomy_jp_hierarchy documents fund_files fund_file_lines reading_ref".split()
-KEYS = {"delivery_no", "file_id", "doc_id"}  # unique by definition
+TABLES = "orders_microbatch_window_raw users fund_master_v2 dim_fund legacy_fund_master column_alias_map taxonomy_jp_hierarchy documents fund_files fund_file_lines reading_ref events".split()
+KEYS = {"delivery_no", "file_id", "doc_id", "event_id"}  # unique by definition
 EXTRA = ("kept", "status", "_key", "key", "size", "part", "tokens", "rank", "event_day", "label", "evidence", "_n")
 
 

@@ -164,10 +164,10 @@ def test_jobs_context_and_lineage(spark, tmp_path):
 
 
 def test_tables_with_properties(spark):
-    made = ln.table_ddl("t_props", "k bigint, d date", ["d"], {"owner": "desk's"}, "orders by day", ["k"])
+    made = ln.table_ddl("t_props", "k bigint, d date", ["d"], {"team": "desk's"}, "orders by day", ["k"])
     assert ln.run_ddl(spark, made) == []
     told = {r["key"]: r["value"] for r in spark.sql("show tblproperties t_props").collect()}
-    assert told["owner"] == "desk's" and told["identifier.fields"] == "k"
+    assert told["team"] == "desk's" and told["identifier.fields"] == "k"
     assert spark.catalog.listColumns("t_props")[1].isPartition
     spark.sql("drop table t_props")
 
