@@ -20,7 +20,9 @@ def test_no_crash(spark, tmp_path, kind):
         plain = PLAIN[name]
         got = query(spark, folder).toPandas()
         assert list(got.columns) == list(plain.columns), name
-        if kind == "empty":
+        if kind == "empty" and name == "p9_valid":
+            assert got.values.tolist() == [[0, 0, 0, 0]]
+        elif kind == "empty":
             assert len(got) == 0, name
         if kind in ("extra", "repeated"):
             assert sorted(str([list(v) if hasattr(v, "tolist") else v for v in r]) for r in got.values.tolist()) == sorted(str([list(v) if hasattr(v, "tolist") else v for v in r]) for r in plain.values.tolist()), name

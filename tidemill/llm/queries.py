@@ -38,7 +38,7 @@ def p9_valid(spark: SparkSession, folder: str) -> DataFrame:
     overfull = packed.groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.count_if(F.col("t") > CAPACITY).alias("overfull"))
     each = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("tokens").alias("sum")).join(sized, "doc_id", "full")
     split = (F.col("parts") > 1) & (F.col("tokens") <= CAPACITY)
-    told = each.agg(F.count("parts").alias("documents"), F.count_if(split).alias("split_without_need"), F.sum(F.abs(F.coalesce("tokens", F.lit(0)) - F.coalesce("sum", F.lit(0)))).alias("lost_tokens"))
+    told = each.agg(F.count("parts").alias("documents"), F.count_if(split).alias("split_without_need"), F.coalesce(F.sum(F.abs(F.coalesce("tokens", F.lit(0)) - F.coalesce("sum", F.lit(0)))), F.lit(0)).alias("lost_tokens"))
     return overfull.join(F.broadcast(told)).select("overfull", "documents", "split_without_need", "lost_tokens")  # one row each
 
 
